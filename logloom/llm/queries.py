@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe, langid, mixing, pii, simhash
+from logloom.llm import bpe, knn, langid, mixing, ogg, pii, quality, simhash, sstable, templates
 from logloom.llm.common import read
 
 
@@ -32,16 +32,36 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read(sstable.write(read(spark, sf_dir, "documents"), TOKENIZER(), end_id=2))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(read(spark, sf_dir, "pages"))
+
+
+def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.described(ogg.stored(read(spark, sf_dir, "documents")))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fitted = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs, fitted).withColumn("held_out", langid.held_out())
 
 
+def op7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.join(read(spark, sf_dir, "embeddings"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), bpe.load_ranks(spark, RANKS()), pattern())
 
@@ -59,8 +79,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_sstable": op2_sstable,
         "op3_pii": op3_pii,
+        "op4_templates": op4_templates,
+        "op5_ogg": op5_ogg,
         "op6_langid": op6_langid,
+        "op7_knn": op7_knn,
+        "op8_quality": op8_quality,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
         "pipeline": pipeline,
