@@ -118,6 +118,7 @@ def packets_of(media: bytes) -> dict[int, list[tuple[bytes, int, int]]]:
     out: dict[int, list] = {}
     parts: dict[int, list[bytes]] = {}
     due: dict[int, int] = {}
+    ended: dict[int, bool] = {}
     for serial, number, flags, granule, lacing, body in pages_of(media):
         if number != due.get(serial, 0) or bool(flags & FIRST) != (number == 0) or bool(flags & CONTINUED) != bool(parts.get(serial)):
             raise ValueError(f"stream {serial} is broken at page {number}")
@@ -132,8 +133,9 @@ def packets_of(media: bytes) -> dict[int, list[tuple[bytes, int, int]]]:
             at = end
         if lacing and lacing[-1] == 255:
             held.append(body[at:])
-    if any(parts.values()):
-        raise ValueError("a packet has no end")
+        ended[serial] = bool(flags & LAST)
+    if any(parts.values()) or not all(ended.values()):
+        raise ValueError("a stream has no end")
     return out
 
 
