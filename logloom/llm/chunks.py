@@ -11,20 +11,36 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-_TWO_SPACES = re.compile(r"\s\s")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-def split(text: str) -> list:
-    """The chunks' keys: the first as bytes, the others as text without their leading space."""
-    parts = _BETWEEN.split(text) if _TWO_SPACES.search(text) else text.split(" ")
+def _keys(parts: list[str]) -> list:
     parts[0] = parts[0].encode("utf-8", "surrogatepass")
     return parts
 
 
+def split(text: str) -> list:
+    """The chunks' keys: the first as bytes, the others as text without their leading space."""
+    return _keys(_BETWEEN.split(text))
+
+
+def _simple(text: str) -> list | None:
+    """What ``split`` gives if single spaces alone are white space at chunks' ends; the first chunk is looked at here."""
+    parts = text.split(" ")
+    if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+        return None
+    return _keys(parts)
+
+
+def _ragged(key) -> bool:
+    """A chunk but the first that has white space at an end, so that its space may not stand alone."""
+    return isinstance(key, str) and (not key or key[0].isspace() or key[-1].isspace())
+
+
 def text_of(key) -> str:
     return key.decode("utf-8", "surrogatepass") if isinstance(key, bytes) else " " + key
 
@@ -43,12 +59,13 @@ class Vocabulary:
     ``most`` chunks all are forgotten, which bounds memory and changes no result.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], most: int = 300_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], most: int = 250_000):
         self.encode_all, self.most = encode_all, most
         self.forget()
 
     def forget(self) -> None:
         self.index: dict = {}
+        self.ragged: set = set()
         self.flat = np.empty(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
@@ -63,12 +80,18 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and the number of ids of each text."""
-        parts = [split(t) if t else [] for t in texts]
+        parts = [(_simple(t) or split(t)) if t else [] for t in texts]
         if len(self.index) > self.most:
             self.forget()
-        self.add(set().union(*parts))
+        keys = set().union(*parts)
+        ragged = set(filter(_ragged, keys - self.index.keys())) | (keys & self.ragged)
+        if ragged:
+            parts = [p if ragged.isdisjoint(p) else split(t) for p, t in zip(parts, texts)]
+            keys = set().union(*parts)
+            self.ragged.update(filter(_ragged, keys))
+        self.add(keys)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter((self.index[k] for p in parts for k in p), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         sizes = self.ends[at + 1] - self.ends[at]
         ids = gather(self.flat, self.ends[at], sizes)
         upto = np.concatenate([[0], np.cumsum(sizes)])

@@ -59,7 +59,7 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``most`` bytes of ``column``; rows stay whole."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     first, held = 0, 0

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import crc_of_id, slices, table
 
-ROWS, SHAPES, WIDTH, NONZERO, SAMPLE, HIDDEN, MOST_TOKENS = 1 << 13, 1 << 10, 64, 6, 12_000, 32, 200_000
+ROWS, SHAPES, WIDTH, NONZERO, SAMPLE, HIDDEN, MOST_TOKENS = 1 << 13, 1 << 10, 64, 6, 12_000, 32, 400_000
 
 _UPPER, _LOWER, _DIGIT, _SAME = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S)
 
@@ -41,10 +41,10 @@ def shape(token: str) -> str:
 
 
 def index_vectors() -> np.ndarray:
-    """A sparse vector of ones and minus ones for each row; the last row, for no token, is zero."""
+    """A sparse vector of ones and minus ones for each row."""
     random = np.random.default_rng(5)
-    out = np.zeros((ROWS + SHAPES + 1, WIDTH), np.int16)
-    for row in out[:-1]:
+    out = np.zeros((ROWS + SHAPES, WIDTH), np.int8)
+    for row in out:
         row[random.choice(WIDTH, NONZERO, replace=False)] = random.choice([-1, 1], NONZERO)
     return out
 
@@ -71,10 +71,10 @@ class Units:
         return np.fromiter((self.index[t] for p in parts for t in p), np.int64, int(counts.sum())), counts
 
 
-def _sums(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(by, kind="stable")
-    names, first = np.unique(by[order], return_index=True)
-    return names, np.add.reduceat(values[order], first, axis=0, dtype=np.int64)
+def _sums(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by number, all of 0 to ``n`` - 1 of which occur."""
+    first = np.cumsum(np.bincount(by, minlength=n)) - np.bincount(by, minlength=n)
+    return np.add.reduceat(values[np.argsort(by, kind="stable")], first, axis=0, dtype=np.int32)
 
 
 def context_sums(docs: DataFrame) -> DataFrame:
@@ -89,16 +89,19 @@ def context_sums(docs: DataFrame) -> DataFrame:
                 tokens, counts = units(batch.column(0).to_pylist())
                 if not len(tokens):
                     continue
-                # Two rows of nothing between texts, so that no window reaches over.
-                own = vectors[units.rows[:, 0]][tokens] + vectors[units.rows[:, 1]][tokens] if len(units.rows) < len(tokens) else vectors[units.rows[tokens, 0]] + vectors[units.rows[tokens, 1]]
-                place = np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(counts) + 1), counts)
-                line = np.zeros((len(tokens) + 2 * len(counts) + 2, WIDTH), np.int16)
-                line[place] = own
-                around = (line[:-4] + line[1:-3] + line[3:-1] + line[4:])[place - 2]
-                seen, sums = _sums(around, tokens)
+                # Two places of nothing around each text, so that no window reaches over.
+                line = np.full(len(tokens) + 2 * len(counts) + 2, -1, np.int64)
+                line[np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(counts) + 1), counts)] = tokens
+                seen, local = np.unique(line, return_inverse=True)
+                rows = units.rows[seen[1:]]  # the first is nothing
+                own = np.concatenate([np.zeros((1, WIDTH), np.int8), vectors[rows[:, 0]] + vectors[rows[:, 1]]])[local]
+                around = own[:-4] + own[1:-3]
+                around += own[3:-1]
+                around += own[4:]
+                sums = _sums(around, local[2:-2], len(seen))[1:]
                 for side in (0, 1):
-                    rows, added = _sums(sums, units.rows[seen, side])
-                    total[rows] += added
+                    found, of = np.unique(rows[:, side], return_inverse=True)
+                    total[found] += _sums(sums, of, len(found))
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, i]) for i in range(WIDTH)]], names=["row", *names])
 
@@ -108,7 +111,7 @@ def context_sums(docs: DataFrame) -> DataFrame:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all rows, from the contexts and a little of the own index vector; of fixed size."""
-    own = index_vectors()[:-1].astype(np.float64)
+    own = index_vectors().astype(np.float64)
     context = np.zeros_like(own)
     found = context_sums(docs).toPandas()  # ROWS + SHAPES rows at most
     if len(found):
@@ -129,15 +132,18 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: list[Column], finish=None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, v = Units(), shared.value
         for whole in batches:
-            for batch in slices(whole, "__text", 2 << 20):
+            for batch in slices(whole, "__text", 1 << 20):
                 tokens, counts = units(batch.column("__text").to_pylist())
                 features = np.zeros((len(counts), 2 * WIDTH + 1), np.float32)
                 some = np.flatnonzero(counts)
                 if len(some):
                     starts = (np.cumsum(counts) - counts)[some]
-                    for side in (0, 1):
-                        means = np.add.reduceat(v[units.rows[tokens, side]], starts, axis=0, dtype=np.float32)
-                        features[some, side * WIDTH : (side + 1) * WIDTH] = means / counts[some, None]
+                    features[some, :WIDTH] = np.add.reduceat(v[units.rows[tokens, 0]], starts, axis=0, dtype=np.float32) / counts[some, None]
+                    # Few shapes: count them by text and multiply.
+                    seen, local = np.unique(units.rows[tokens, 1], return_inverse=True)
+                    owner = np.repeat(np.arange(len(some)), counts[some])
+                    table_of = np.bincount(owner * len(seen) + local, minlength=len(some) * len(seen)).reshape(len(some), len(seen))
+                    features[some, WIDTH:-1] = (table_of.astype(np.float32) @ v[seen]) / counts[some, None]
                 features[:, -1] = np.log1p(counts) / 8
                 columns = finish(features) if finish else [pa.array(list(features), pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *columns], names=[*names, *made])
@@ -148,7 +154,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: list[Column], finish=None
 class Network:
     """Two layers, features scaled to mean 0 and deviation 1, logits divided by a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, check: np.ndarray, seed: int = 3, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, check: np.ndarray, seed: int = 3, steps: int = 3000, rate: float = 3e-3, decay: float = 1e-4):
         random = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         self.w1, self.b1 = random.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
@@ -158,14 +164,14 @@ class Network:
         own, truth = self._scaled(x[learn]), y[learn]
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.w1, self.b1, self.w2, self.b2)]
         turn = 0
-        for _ in range(epochs):
+        while turn < steps:
             for at in np.array_split(random.permutation(len(truth)), max(1, len(truth) // 128)):
                 turn += 1
                 z = np.maximum(own[at] @ self.w1 + self.b1, 0)
                 error = (_sigmoid(z @ self.w2 + self.b2) - truth[at]) / len(at)
                 back = np.outer(error, self.w2) * (z > 0)
-                steps = (own[at].T @ back + decay * self.w1, back.sum(0), z.T @ error + decay * self.w2, error.sum(keepdims=True))
-                for p, g, m in zip((self.w1, self.b1, self.w2, self.b2), steps, moments):
+                slopes = (own[at].T @ back + decay * self.w1, back.sum(0), z.T @ error + decay * self.w2, error.sum(keepdims=True))
+                for p, g, m in zip((self.w1, self.b1, self.w2, self.b2), slopes, moments):
                     m[0][:] = 0.9 * m[0] + 0.1 * g
                     m[1][:] = 0.999 * m[1] + 0.001 * g * g
                     p -= rate * (m[0] / (1 - 0.9**turn)) / (np.sqrt(m[1] / (1 - 0.999**turn)) + 1e-8)
