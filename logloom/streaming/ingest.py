@@ -83,7 +83,7 @@ def health(query: StreamingQuery) -> dict:
 def end_offsets(query: StreamingQuery) -> list:
     """Where the sources of the last batch ended."""
     progress = query.lastProgress
-    return [json.loads(s["endOffset"]) if isinstance(s["endOffset"], str) else s["endOffset"] for s in progress["sources"]] if progress else []
+    return [s["endOffset"] for s in json.loads(progress.json)["sources"]] if progress else []
 
 
 def observed(rows: DataFrame) -> DataFrame:
