@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.chunks import Vocabulary
-from logloom.llm.common import slices
+from logloom.llm.common import kept, slices
 
 NONE = np.int32(2**31 - 1)
 #: Rows over so many bytes are merged one at a time.
@@ -193,11 +193,14 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bo
     fields += ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["token_ids array<int>"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*shared.value)
-        words = Vocabulary(bpe.encode_all)
+        def make() -> tuple:
+            bpe = Bpe(*shared.value)
+            return bpe, Vocabulary(bpe.encode_all)
+
+        bpe, words = kept(shared.value, make)
         for whole in batches:
             for batch in slices(whole, "__text"):
-                ids, counts = words.encode(batch.column("__text").to_pylist())
+                ids, counts = words.encode_column(batch.column("__text"))
                 ends = np.cumsum(counts)
                 digests, back = [], []
                 for a, b in zip(ends - counts, ends):

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,6 +43,12 @@ def _ragged(key) -> bool:
     return isinstance(key, str) and (not key or key[0].isspace() or key[-1].isspace())
 
 
+def _ragged_of(values: pa.Array) -> np.ndarray:
+    """The same for a column; Arrow's white space is that of ``str.isspace``."""
+    sizes = pc.binary_length(values).to_numpy()
+    return (sizes == 0) | (sizes != pc.binary_length(pc.utf8_trim_whitespace(values)).to_numpy())
+
+
 def text_of(key) -> str:
     return key.decode("utf-8", "surrogatepass") if isinstance(key, bytes) else " " + key
 
@@ -55,11 +63,13 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class Vocabulary:
     """Ids of the chunks seen so far.
 
-    ``encode_all`` gives an integer array for each text of a list.  Beyond
-    ``most`` chunks all are forgotten, which bounds memory and changes no result.
+    ``encode_all`` gives an integer array for each text of a list, or a pair: all ids one
+    after another, and the number of ids of each text.  Beyond ``most`` chunks new ones are
+    encoded for their texts and not kept; after many of these all are forgotten, so what is
+    kept follows the texts.  Memory is bounded and no result changes.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], most: int = 250_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray] | tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode_all, self.most = encode_all, most
         self.forget()
 
@@ -68,32 +78,99 @@ class Vocabulary:
         self.ragged: set = set()
         self.flat = np.empty(0, np.int32)
         self.ends = np.zeros(1, np.int64)
+        self.passed = 0
 
-    def add(self, keys: set) -> None:
-        new = list(keys - self.index.keys())
+    def add(self, new: list) -> None:
         if new:
             ids = self.encode_all([text_of(k) for k in new])
+            if isinstance(ids, tuple):
+                flat, sizes = ids
+            else:
+                flat, sizes = np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.flat = np.concatenate([self.flat, *ids]).astype(np.int32, copy=False)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, flat]).astype(np.int32, copy=False)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
+    def _drop(self, new: list) -> None:
+        """Of the chunks that came last those beyond ``most``."""
+        beyond = min(len(self.index) - self.most, len(new))
+        if beyond > 0:
+            for key in new[len(new) - beyond :]:
+                del self.index[key]
+            self.ends = self.ends[: len(self.index) + 1]
+            self.flat = self.flat[: self.ends[-1]]
+            self.passed += beyond
+        if max(self.passed, 4 * len(self.ragged)) > 8 * self.most:
+            self.forget()
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a column of strings; null has no ids.
+
+        Arrow cuts the texts at spaces and finds the distinct pieces.  Texts in which these
+        may not be the chunks (white space at a piece's end) go to :meth:`encode`.
+        """
+        texts = texts.fill_null("")
+        pieces = pc.split_pattern(texts, " ")
+        starts = pieces.offsets.to_numpy()[:-1].astype(np.int64)
+        counts = pieces.value_lengths().to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, np.int32), counts
+        starts -= starts[0]
+        values, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        firsts = at[starts]
+        # Of the pieces that only begin texts nothing is looked up.
+        inner = np.ones(len(at), bool)
+        inner[starts] = False
+        used = np.zeros(len(values), bool)
+        used[at[inner]] = True
+        ragged = _ragged_of(values)
+        odd = ragged[firsts] | np.logical_or.reduceat(ragged[at] & inner, starts)
+        looked = np.flatnonzero(used & ~ragged)
+        wanted = values.take(pa.array(looked)).to_pylist()
+        heads = [h.encode() for h in values.take(pa.array(firsts[~odd])).to_pylist()]
+        place = np.fromiter(map(self.index.get, wanted, repeat(-1)), np.int64, len(wanted))
+        unseen = np.flatnonzero(place < 0)
+        place[unseen] = len(self.index) + np.arange(len(unseen))
+        new = [wanted[i] for i in unseen] + list(set(heads) - self.index.keys())
+        self.add(new)
+        number = np.zeros(len(values), np.int64)
+        number[looked] = place
+        numbers = number[at]
+        numbers[starts[~odd]] = np.fromiter(map(self.index.__getitem__, heads), np.int64, len(heads))
+        numbers = numbers[np.repeat(~odd, counts)]
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        ids = gather(self.flat, self.ends[numbers], sizes)
+        self._drop(new)
+        upto, last = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(counts[~odd])
+        n_ids = np.zeros(len(texts), np.int64)
+        n_ids[~odd] = upto[last] - upto[last - counts[~odd]]
+        if not odd.any():
+            return ids, n_ids
+        more, n_ids[odd] = self.encode(texts.filter(pa.array(odd)).to_pylist())
+        begins = np.empty(len(texts), np.int64)
+        for which, base in ((~odd, 0), (odd, len(ids))):
+            begins[which] = base + np.cumsum(n_ids[which]) - n_ids[which]
+        return gather(np.concatenate([ids, more]), begins, n_ids), n_ids
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and the number of ids of each text."""
         parts = [(_simple(t) or split(t)) if t else [] for t in texts]
-        if len(self.index) > self.most:
-            self.forget()
         keys = set().union(*parts)
-        ragged = set(filter(_ragged, keys - self.index.keys())) | (keys & self.ragged)
+        new = keys - self.index.keys()
+        ragged = set(filter(_ragged, new)) | (keys & self.ragged)
         if ragged:
             parts = [p if ragged.isdisjoint(p) else split(t) for p, t in zip(parts, texts)]
             keys = set().union(*parts)
             self.ragged.update(filter(_ragged, keys))
-        self.add(keys)
+            new = keys - self.index.keys()
+        new = list(new)
+        self.add(new)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         sizes = self.ends[at + 1] - self.ends[at]
         ids = gather(self.flat, self.ends[at], sizes)
+        self._drop(new)
         upto = np.concatenate([[0], np.cumsum(sizes)])
         last = np.cumsum(counts)
         return ids, upto[last] - upto[last - counts]

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +62,20 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))
 
 
+_KEPT: list = []
+
+
+def kept(owner: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once by each Python worker for as long as it works for ``owner``, a broadcast value.
+
+    Spark gives a worker one task after another, and what is made (an encoder and what it
+    has encoded) is of bounded size and changes no result.
+    """
+    if not _KEPT or _KEPT[0] is not owner:
+        _KEPT[:] = [owner, make()]
+    return _KEPT[1]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``most`` bytes of ``column``; rows stay whole."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -30,14 +30,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.chunks import Vocabulary
-from logloom.llm.common import new_folder, slices, table
+from logloom.llm.chunks import Vocabulary, gather
+from logloom.llm.common import kept, new_folder, slices, table
 
 MAGIC = b"LLSST001"
 FOOTER = struct.Struct("<QQQQQQQI8s")
@@ -218,23 +219,31 @@ def encoder(data: bytes):
     for token, number in vocabulary.items():
         bytes_of[number] = len(token)  # a character for each byte
 
-    def encode(texts: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
-    def encode_all(texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace()]
+    def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            (plain if len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() else rest).append(i)
+        sizes, flat = np.zeros(len(texts), np.int64), []
         for first in range(0, len(plain), step := 20_000):
-            part = [texts[i] for i in plain[first : first + step]]
-            ids = encode(["".join(part[at : at + 400]) for at in range(0, len(part), 400)])
-            ends = np.cumsum(np.fromiter((len(t.encode()) for t in part), np.int64, len(part)))
-            cuts = np.searchsorted(np.cumsum(bytes_of[ids]), ends) + 1
-            for i, a, b in zip(plain[first : first + step], np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist()):
-                out[i] = ids[a:b]
-        for i, own in enumerate(out):
-            if own is None:
-                out[i] = encode([texts[i]])
-        return out
+            at = plain[first : first + step]
+            part = [texts[i] for i in at]
+            ids, _ = encode(["".join(part[i : i + 400]) for i in range(0, len(part), 400)])
+            ends = np.cumsum(np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in part), np.int64, len(part)))
+            sizes[at] = np.diff(np.searchsorted(np.cumsum(bytes_of[ids]), ends) + 1, prepend=0)
+            flat.append(ids)
+        if rest:
+            ids, sizes[rest] = encode([texts[i] for i in rest])
+            flat.append(ids)
+        # In the order of the texts again.
+        order = np.array(plain + rest, np.int64)
+        starts = np.empty(len(texts), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(np.concatenate([np.empty(0, np.int32), *flat]), starts, sizes), sizes
 
     return encode_all, tokenizer
 
@@ -253,23 +262,29 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None
     ranged = base.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tokenizer = encoder(shared.value)
+        def make() -> tuple:
+            encode, tokenizer = encoder(shared.value)
+            return encode, tokenizer, Vocabulary(encode, most=400_000)
+
+        encode, tokenizer, words = kept(shared.value, make)
         # Strings of special tokens cut a text before its words are found; such texts go in whole.
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        words, shard, attempt = Vocabulary(encode, most=400_000), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         path, draft = f"{root}/shard-{shard:06d}.sst", f"{root}/.draft-{shard:06d}-{attempt}"
         with files.open_output_stream(draft, compression=None) as stream:
             out = Writer(stream, tokenizer.get_vocab_size() > 1 << 16)
             for whole in batches:
-                for batch in slices(whole, "__text"):
-                    texts = batch.column("__text").to_pylist()
-                    odd = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-                    ids, counts = words.encode(["" if i in odd else t for i, t in enumerate(texts)])
+                for batch in slices(whole, "__text", 8 << 20):
+                    texts = batch.column("__text")
+                    cut = np.zeros(len(texts), bool)
+                    for mark in special:
+                        cut |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+                    ids, counts = words.encode_column(pc.if_else(pa.array(cut), "", texts) if cut.any() else texts)
                     ends = np.cumsum(counts)
                     for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                        own = encode([texts[i]])[0] if i in odd else ids[ends[i] - counts[i] : ends[i]]
+                        own = encode([texts[i].as_py()])[0] if cut[i] else ids[ends[i] - counts[i] : ends[i]]
                         out.add(key_of(doc_id), np.append(own, end_id))
             out.close()
         if files.get_file_info(path).type.name != "NotFound":

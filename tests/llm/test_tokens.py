@@ -4,6 +4,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -25,11 +26,37 @@ def digest(b: bytes) -> str:
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'aetsé 日1!"), st.characters(exclude_categories=["Cs"]))), max_size=4))
 def test_texts_encode_as_the_library_does(texts):
-    ids, counts = chunks.Vocabulary(OWN.encode_all, most=3).encode(texts)
-    ends = np.cumsum(counts)
-    for text, a, b in zip(texts, ends - counts, ends):
-        assert ids[a:b].tolist() == KNOWN.encode_ordinary(text)
-        assert OWN.decode(ids[a:b]) == text.encode()
+    words = chunks.Vocabulary(OWN.encode_all, most=3)
+    column = pa.array(["x y", *texts, None], pa.string()).slice(1)
+    for ids, counts in (words.encode(texts), words.encode_column(column), words.encode_column(column[:-1]), words.encode(texts)):
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts, ends - counts, ends):
+            assert ids[a:b].tolist() == KNOWN.encode_ordinary(text)
+            assert OWN.decode(ids[a:b]) == text.encode()
+
+
+def test_white_space_is_the_same_in_arrow():
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}x", "x{}", "{}"):
+        values = [form.format(s) for s in signs]
+        assert chunks._ragged_of(pa.array(values)).tolist() == [chunks._ragged(v) for v in values]
+
+
+LIBRARY, _ = sstable.encoder(open(P.path("byte_bpe_50k.json"), "rb").read())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'aetsé 日1!"), st.characters(exclude_categories=["Cs"]))), max_size=6))
+def test_columns_encode_as_the_tokenizers_library_does(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    words = chunks.Vocabulary(LIBRARY, most=5)
+    for _ in range(2):
+        ids, counts = words.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts, ends - counts, ends):
+            assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("word", ["a" * 5000, "ab" * 3000, "abcab" * 900, "the" * 1500, "".join(chr(97 + i * i % 26) for i in range(4000)), "é" * 700])
