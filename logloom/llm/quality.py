@@ -20,24 +20,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import crc_of_id, slices, table
+from logloom.llm.common import crc_of_id, kept, slices
 
-ROWS, SHAPES, WIDTH, NONZERO, SAMPLE, HIDDEN, MOST_TOKENS = 1 << 13, 1 << 10, 64, 6, 12_000, 32, 400_000
+ROWS, SHAPES, WIDTH, NONZERO, SAMPLE, HIDDEN, MOST_TOKENS, TEXTS = 1 << 13, 1 << 10, 64, 6, 12_000, 32, 400_000, 128
 
-_UPPER, _LOWER, _DIGIT, _SAME = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S)
-
-
-def shape(token: str) -> str:
-    """A token with runs of capitals as X, of other letters as x, of digits as 9, of equal signs as one."""
-    marked = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("\0", token)))
-    return _SAME.sub(r"\1", marked.replace("\0", "X"))[:32]
+#: A shape is a token with runs of capitals as X, of other letters as x, of digits as 9, of equal signs as one.
+_SAME = re.compile(r"(.)\1+", re.S)
 
 
 def index_vectors() -> np.ndarray:
@@ -50,55 +47,79 @@ def index_vectors() -> np.ndarray:
 
 
 class Units:
-    """Rows of tokens; each distinct token is hashed once until there are ``MOST_TOKENS``."""
+    """Rows of tokens; a distinct token is hashed once, and kept while there are fewer than ``MOST_TOKENS``."""
 
     def __init__(self):
         self.index: dict[str, int] = {}
         self.rows = np.empty((0, 2), np.int32)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens' numbers of all texts one after another, and how many each text has."""
-        parts = [t.split() if t else [] for t in texts]
-        if len(self.index) > MOST_TOKENS:
-            self.__init__()
-        new = list(set().union(*parts) - self.index.keys())
-        if new:
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of the distinct tokens, the tokens of all texts as numbers of these, and how many each text has."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = pc.utf8_split_whitespace(texts.fill_null(""))
+        coded = parts.flatten().dictionary_encode()
+        owner = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+        # White space at an end of a text gives an empty part.
+        full = pc.binary_length(coded.dictionary).to_numpy() > 0
+        number, at = np.cumsum(full) - 1, coded.indices.to_numpy()
+        some = full[at]
+        counts = np.bincount(owner[some], minlength=len(texts))
+        tokens = coded.dictionary.filter(pa.array(full)).to_pylist()
+        place = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unseen = np.flatnonzero(place < 0)
+        if len(unseen):
+            new = [tokens[i] for i in unseen]
             digest = xxhash.xxh32_intdigest
-            own = [(digest(t) % ROWS, ROWS + digest(shape(t)) % SHAPES) for t in new]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.rows = np.concatenate([self.rows, np.array(own, np.int32)])
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter((self.index[t] for p in parts for t in p), np.int64, int(counts.sum())), counts
+            own = np.fromiter(map(digest, new), np.int64, len(new)) % ROWS
+            rows = np.column_stack([own, _shape_rows(new)]).astype(np.int32)
+            place[unseen] = len(self.rows) + np.arange(len(new))
+            every = np.concatenate([self.rows, rows])
+            room = max(0, MOST_TOKENS - len(self.index))
+            self.index.update(zip(new[:room], range(len(self.rows), len(self.rows) + room)))
+            self.rows = every[: len(self.index)]
+        else:
+            every = self.rows
+        return every[place], number[at[some]], counts
+
+
+def _shape_rows(tokens: list[str]) -> np.ndarray:
+    """The rows of the tokens' shapes; few shapes are left once letters and digits are alike."""
+    marked = pa.array(tokens, pa.string())
+    for pattern, sign in ((r"[A-ZÀ-ÖØ-Þ]+", "\0"), (r"\p{L}+", "x"), (r"\p{Nd}+", "9")):
+        marked = pc.replace_substring_regex(marked, pattern, sign)
+    coded = marked.dictionary_encode()
+    rows = [ROWS + xxhash.xxh32_intdigest(_SAME.sub(r"\1", m.replace("\0", "X"))[:32]) % SHAPES for m in coded.dictionary.to_pylist()]
+    return np.array(rows, np.int64)[coded.indices.to_numpy()]
 
 
 def _sums(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by number, all of 0 to ``n`` - 1 of which occur."""
-    first = np.cumsum(np.bincount(by, minlength=n)) - np.bincount(by, minlength=n)
-    return np.add.reduceat(values[np.argsort(by, kind="stable")], first, axis=0, dtype=np.int32)
+    """Sums of the rows of ``values`` by number, all of 1 to ``n`` - 1 of which occur."""
+    counts = np.bincount(by, minlength=n)
+    return np.add.reduceat(values[np.argsort(by, kind="stable")], np.cumsum(counts) - counts, axis=0, dtype=np.int32)
 
 
 def context_sums(docs: DataFrame) -> DataFrame:
     """``row`` and ``c0`` ...: for each row the sum of the index vectors around its tokens, over all documents."""
     names = [f"c{i}" for i in range(WIDTH)]
+    shared = docs.sparkSession.sparkContext.broadcast(index_vectors())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, vectors = Units(), index_vectors()
+        vectors = shared.value
+        units = kept(vectors, Units)
         total = np.zeros((ROWS + SHAPES, WIDTH), np.int64)
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 20):
-                tokens, counts = units(batch.column(0).to_pylist())
+                rows, tokens, counts = units(batch.column(0))
                 if not len(tokens):
                     continue
                 # Two places of nothing around each text, so that no window reaches over.
-                line = np.full(len(tokens) + 2 * len(counts) + 2, -1, np.int64)
-                line[np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(counts) + 1), counts)] = tokens
-                seen, local = np.unique(line, return_inverse=True)
-                rows = units.rows[seen[1:]]  # the first is nothing
-                own = np.concatenate([np.zeros((1, WIDTH), np.int8), vectors[rows[:, 0]] + vectors[rows[:, 1]]])[local]
+                line = np.zeros(len(tokens) + 2 * len(counts) + 2, np.int64)  # 0 is nothing
+                line[np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(counts) + 1), counts)] = tokens + 1
+                own = np.concatenate([np.zeros((1, WIDTH), np.int8), vectors[rows[:, 0]] + vectors[rows[:, 1]]])[line]
                 around = own[:-4] + own[1:-3]
                 around += own[3:-1]
                 around += own[4:]
-                sums = _sums(around, local[2:-2], len(seen))[1:]
+                sums = _sums(around, line[2:-2], len(rows) + 1)[1:]
                 for side in (0, 1):
                     found, of = np.unique(rows[:, side], return_inverse=True)
                     total[found] += _sums(sums, of, len(found))
@@ -130,20 +151,24 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: list[Column], finish=None
     made = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, v = Units(), shared.value
+        v = shared.value
+        units = kept(v, Units)
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 20):
-                tokens, counts = units(batch.column("__text").to_pylist())
+                rows, tokens, counts = units(batch.column("__text"))
                 features = np.zeros((len(counts), 2 * WIDTH + 1), np.float32)
-                some = np.flatnonzero(counts)
-                if len(some):
-                    starts = (np.cumsum(counts) - counts)[some]
-                    features[some, :WIDTH] = np.add.reduceat(v[units.rows[tokens, 0]], starts, axis=0, dtype=np.float32) / counts[some, None]
-                    # Few shapes: count them by text and multiply.
-                    seen, local = np.unique(units.rows[tokens, 1], return_inverse=True)
-                    owner = np.repeat(np.arange(len(some)), counts[some])
-                    table_of = np.bincount(owner * len(seen) + local, minlength=len(some) * len(seen)).reshape(len(some), len(seen))
-                    features[some, WIDTH:-1] = (table_of.astype(np.float32) @ v[seen]) / counts[some, None]
+                # Counts of the rows that occur, for a few texts at a time, and one product.
+                for side, first in ((0, 0), (1, WIDTH)):
+                    of_token = rows[tokens, side]
+                    last = np.cumsum(counts)
+                    for low in range(0, len(counts), TEXTS):
+                        high = min(low + TEXTS, len(counts))
+                        begin, end = last[low] - counts[low], last[high - 1]
+                        seen, local = np.unique(of_token[begin:end], return_inverse=True)
+                        if len(seen):
+                            owner = np.repeat(np.arange(high - low), counts[low:high])
+                            table = np.bincount(owner * len(seen) + local, minlength=(high - low) * len(seen)).reshape(high - low, len(seen))
+                            features[low:high, first : first + WIDTH] = (table.astype(np.float32) @ v[seen]) / np.maximum(counts[low:high, None], 1)
                 features[:, -1] = np.log1p(counts) / 8
                 columns = finish(features) if finish else [pa.array(list(features), pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *columns], names=[*names, *made])

@@ -78,9 +78,7 @@ def test_context_sums_are_those_of_a_plain_count(spark):
         words = (t or "").split()
         rows = []
         for w in words:
-            u = quality.Units()
-            u([w])
-            rows.append(u.rows[0].tolist())
+            rows.append(quality.Units()([w])[0][0].tolist())
         for i, own in enumerate(rows):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(rows):
