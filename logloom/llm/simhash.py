@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import drop_table, slices, table
@@ -53,16 +53,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``doc_id``, ``fp``, the fingerprint as a signed long, and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            further = range(2, batch.num_columns)
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *[batch.column(i) for i in further]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *[batch.schema.names[i] for i in further]])
 
-    base = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("__text"))
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    base = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("__text"), *keep)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
+    return base.mapInArrow(run, ", ".join([kinds[0], "fp bigint", *kinds[2:]]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -150,21 +153,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row of ``docs``."""
-    prints = table(fingerprints(docs), "fingerprints")
+def _rooted(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """``fp``, ``least`` (its smallest id) and ``root`` for each distinct fingerprint of ``prints``."""
     points = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     found = components(links(points, radius, block))
     rooted = points.join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = table(rooted, "roots")
+    return table(rooted, "roots")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row of ``docs``."""
+    prints = table(fingerprints(docs), "fingerprints")
+    rooted = _rooted(prints, radius, block)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of repeated ids one row."""
-    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__first"))
-    rows = docs.select(F.col("doc_id").alias("__own"), F.struct(*docs.columns).alias("__row"))
-    rows = rows.join(found, F.col("__own").eqNullSafe(F.col("__id"))).where(F.col("__own").eqNullSafe(F.col("__first")))
-    return rows.groupBy("__own").agg(F.first("__row").alias("__row")).select("__row.*")
+def first_of_each(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id (null is the last),
+    then the smallest digest of the text, then the smallest hash of the further columns.
+
+    The component is that of the row's own text, so neither null nor repeated ids mix rows up.
+    """
+    further = [c for c in docs.columns if c not in ("doc_id", "text")]
+    digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")).alias("__digest")
+    others = (F.xxhash64(F.to_json(F.struct(*further))) if further else F.lit(0).cast("bigint")).alias("__others")
+    prints = table(fingerprints(docs, digest, others), "fingerprints")
+    rooted = _rooted(prints, radius, block).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__others")
+    # Rows of one fingerprint first, so that a large component is small before it is dealt out.
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    firsts = firsts.select(F.col("first.doc_id").alias("__first"), F.col("first.__digest").alias("__of"), F.col("first.__others").alias("__with"))
+    rows = docs.select(F.col("doc_id").alias("__own"), digest, others, F.struct(*docs.columns).alias("__row"))
+    # Rows that agree in all three are equal, so any of them will do.
+    rows = rows.groupBy("__own", "__digest", "__others").agg(F.first("__row").alias("__row"))
+    same = F.col("__own").eqNullSafe(F.col("__first")) & (F.col("__digest") == F.col("__of")) & (F.col("__others") == F.col("__with"))
+    return rows.join(firsts, same, "left_semi").select("__row.*")

@@ -95,3 +95,16 @@ def test_first_of_each(docs, rows):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 10 in ids and not set(range(200, 240)) & set(ids)
+
+
+def test_first_of_each_keeps_one_row_of_each_component(spark):
+    """Null ids and an id with two texts: each component of texts keeps one row, the same one again on a rerun."""
+    a, b, c, d = ("red sun over the old mill", "nine grey geese fly south today", "copper kettles sing in winter", "my only line without an id")
+    rows = [(3, a, "x"), (5, b, "x"), (5, a, "x"), (6, b, "y"), (None, c, "x"), (None, c, "y"), (None, d, "x"), (None, a, "x"), (9, None, "x"), (None, "", "x")]
+    rows += [(3, a, "x"), (7, "second text of seven is this", "x"), (7, "and a third one for the same id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = [tuple(r) for r in simhash.first_of_each(docs).collect()]
+    assert sorted(r[:2] for r in kept if r[0] is not None) == [(3, a), (5, b), (7, "and a third one for the same id"), (7, "second text of seven is this")] + [(9, None)]
+    assert sorted(r[1] for r in kept if r[0] is None) == [c, d]
+    again = [tuple(r) for r in simhash.first_of_each(docs.orderBy(docs.text.desc(), docs.source.desc()).repartition(5)).collect()]
+    assert sorted(again, key=str) == sorted(kept, key=str)
