@@ -5,8 +5,9 @@ text's log-probability is the sum over its words.  All models stand in one set o
 sorted arrays of n-gram hashes, one array for each order, with a column for each
 language; a task looks each distinct word up once.  The language with the lowest
 cross-entropy by letter wins.  A softmax whose temperature held-out documents of the
-sample set gives the score; a text is rejected if its cross-entropy is beyond what
-those documents of the language show.
+sample set gives the score; a text is rejected if its cross-entropy is beyond a high
+quantile of those documents of the language and a margin.  Short texts vary more and
+have bounds of their own, for which the first words of each document count too.
 
 The models come from a bounded sample: about ``SAMPLE`` documents of each language,
 chosen by a hash of the id, whole; Spark counts their n-grams.
@@ -14,7 +15,7 @@ chosen by a hash of the id, whole; Spark counts their n-grams.
 Defined results: a null or empty text, or one without letters, is ``und`` with score
 0 and is rejected; rows with null ids are predicted like others; repeated rows give
 repeated results; ties go to the language that sorts first; with no labelled rows
-everything is ``und``; further columns are not read.
+everything is ``und`` and nothing is rejected; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ from pyspark.sql import functions as F
 from logloom.llm.common import crc_of_id, slices, table
 
 ORDER, SAMPLE, DISCOUNT, MOST_WORDS = 4, 1000, 0.75, 200_000
+#: A text is rejected beyond this quantile of what its language's documents of like length
+#: show (at most ``SPREAD`` times as far above the median as nine tenths lie, for a few odd
+#: documents among few), and a margin.  For each class of length: letters below which it
+#: holds, first words of a document that stand for it, margin in bits a letter.
+QUANTILE, SPREAD, LENGTHS = 0.99, 4, ((20, 2, 2.0), (80, 8, 1.5), (float("inf"), 0, 1.0))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,8 +201,8 @@ def costs(docs: DataFrame, models: Models, keep: list[Column]) -> DataFrame:
     return base.mapInArrow(run, ", ".join([*fields, "bits array<double>", "letters double"]))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[Models, float, list[float]]:
-    """Models, temperature and the highest cross-entropy that each language accepts.
+def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[Models, float, list[list[float]]]:
+    """Models, temperature and for each of ``LENGTHS`` the highest cross-entropy that each language accepts.
 
     ``labelled`` has ``doc_id``, ``text``, ``lang``.  About ``sample`` documents of each
     language are used, by a hash of the id; a fifth of them calibrates.
@@ -212,18 +218,53 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[
     models = Models(count_grams(chosen.where(fold != 0), order).toPandas(), order)
     if not models.langs:
         return models, 1.0, []
-    # Bounded: a fifth of the sample, one short row each.
-    seen = costs(chosen.where(fold == 0), models, [F.col("lang")]).where("letters > 0").toPandas()
-    seen = seen[seen["lang"].isin(models.langs)]
+    # Bounded: a fifth of the sample, one short row for each document and for each of its beginnings.
+    calibrating = chosen.where(fold == 0).select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("of"), F.lit(0).alias("first"))
+    begun = [calibrating.select("lang", F.regexp_extract("text", rf"^\s*+\S++(?:\s++\S++){{0,{words - 1}}}", 0).alias("text"), "of", F.lit(words).alias("first")) for _, words, _ in LENGTHS if words]
+    for part in begun:
+        calibrating = calibrating.unionByName(part)
+    every = costs(calibrating, models, [F.col("lang"), F.col("of"), F.col("first")]).where("letters > 0").toPandas()
+    every = every[every["lang"].isin(models.langs)]
+    seen = every[every["first"] == 0]
     if not len(seen):
-        return models, 1.0, [float("inf")] * len(models.langs)
+        return models, 1.0, [[float("inf")] * len(models.langs) for _ in LENGTHS]
     bits, n = np.stack(seen["bits"]), seen["letters"].to_numpy()
     truth = np.searchsorted(models.langs, seen["lang"].to_numpy().astype(str))
     loss = lambda t: -np.log(np.maximum(posterior(bits, n, t)[np.arange(len(n)), truth], 1e-12)).mean()
     best = min((2.0**k for k in range(-4, 9)), key=loss)
-    entropy = (bits / n[:, None])[np.arange(len(n)), truth]
-    most = [float(entropy[truth == i].max() * 1.5 + 1) if (truth == i).any() else float("inf") for i in range(len(models.langs))]
-    return models, best, most
+    return models, best, bounds(every, models.langs)
+
+
+def bounds(seen, langs: list[str]) -> list[list[float]]:
+    """For each of ``LENGTHS`` and each language the highest cross-entropy that is accepted.
+
+    A class of length that a language shows no text of has the bound of the next one
+    that it shows, with its own margin; a language without any accepts everything.
+    """
+    # A document stands once in a class of length, so a short odd one has no more weight.
+    seen = seen.assign(kind=np.searchsorted([below for below, _, _ in LENGTHS], seen["letters"].to_numpy(), side="right"))
+    seen = seen.sort_values("first", kind="stable").drop_duplicates(["lang", "of", "kind"])
+    n, kind = seen["letters"].to_numpy(), seen["kind"].to_numpy()
+    truth = np.searchsorted(langs, seen["lang"].to_numpy().astype(str))
+    entropy = np.stack(seen["bits"])[np.arange(len(n)), truth] / n
+    out = [[float("inf")] * len(langs) for _ in LENGTHS]
+    for i in range(len(langs)):
+        for j, (_, _, margin) in enumerate(LENGTHS):
+            for other in sorted(range(len(LENGTHS)), key=lambda k: abs(k - j)):
+                if (own := (truth == i) & (kind == other)).any():
+                    middle, most, high = np.quantile(entropy[own], (0.5, 0.9, QUANTILE))
+                    out[j][i] = float(min(high, middle + SPREAD * (most - middle))) + margin
+                    break
+    return out
+
+
+def _bound(most: list[list[float]], at: Column) -> Column:
+    """The bound of the language with number ``at`` for a text of ``letters``."""
+    *short, longest = [F.element_at(F.array(*map(F.lit, of)), at) for of in most]
+    out = longest
+    for (below, _, _), bound in reversed(list(zip(LENGTHS, short))):
+        out = F.when(F.col("letters") < below, bound).otherwise(out)
+    return out
 
 
 def posterior(bits: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
@@ -233,18 +274,18 @@ def posterior(bits: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray
     return z / z.sum(1, keepdims=True)
 
 
-def predict(docs: DataFrame, fitted: tuple[Models, float, list[float]]) -> DataFrame:
+def predict(docs: DataFrame, fitted: tuple[Models, float, list[list[float]]]) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``rejected`` for each row."""
     models, temperature, most = fitted
     names = F.array(*map(F.lit, models.langs)) if models.langs else F.array(F.lit("und"))
     rows = costs(docs, models, [F.col("doc_id")])
     if not models.langs:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
     best = F.array_min("bits")
     at = F.array_position("bits", best).cast("int")
     weights = F.transform("bits", lambda b: F.exp((best - b) / F.sqrt(F.greatest(F.col("letters"), F.lit(1.0))) / temperature))
     none = F.col("letters") == 0
-    beyond = best / F.col("letters") > F.element_at(F.array(*map(F.lit, most)), at)
+    beyond = best / F.col("letters") > _bound(most, at)
     return rows.select(
         "doc_id",
         F.when(none, "und").otherwise(F.element_at(names, at)).alias("lang_pred"),
@@ -257,15 +298,15 @@ def held_out() -> Column:
     return crc_of_id() % 4 == 2
 
 
-def accepted(docs: DataFrame, fitted: tuple[Models, float, list[float]]) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, as they are."""
+def accepted(docs: DataFrame, fitted: tuple[Models, float, list[list[float]]]) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, as they are; all if no language was learned."""
     models, _, most = fitted
     if not models.langs:
-        return docs.limit(0)
+        return docs
     # The row travels along with its text, so nothing has to be joined again.
     rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], "text")
     scored = costs(rows, models, [F.col(f"__{i}") for i in range(len(docs.columns))])
     best = F.array_min("bits")
-    limit = F.element_at(F.array(*map(F.lit, most)), F.array_position("bits", best).cast("int"))
+    limit = _bound(most, F.array_position("bits", best).cast("int"))
     kept = scored.where((F.col("letters") > 0) & (best / F.col("letters") <= limit))
     return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -54,6 +54,26 @@ def test_query_of_languages(docs, no_docs, rows):
     assert kept.count() == sum(not r.rejected for r in found)
 
 
+def test_unseen_languages_go_and_learned_ones_stay(spark):
+    """A few odd documents under a language's label do not open it."""
+    r = np.random.default_rng(5)
+    words = {"en": "the of and that with from this house river stone people garden after water under while".split(), "de": "der die und nicht mit das haus fluss stein leute garten nach wasser unter eine auch".split()}
+    text = lambda lang, n: " ".join(r.choice(words[lang], n))
+    rows = [(i, text(lang, int(r.choice([3, 30, 300]))), lang) for i, lang in enumerate(["en", "de"] * 600)]
+    rows += [(5000 + i, odd, "en") for i, odd in enumerate(["qqxzj vkqpw zzxqy", "xkcd qwrtz pfgh", "жшщ ъыэ юяё"])]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=2000)
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    seen = [(i, text(lang, n), lang) for i, (lang, n) in enumerate([(lang, n) for lang in words for n in (3, 12, 60, 900)])]
+    unseen = [(100, polish, None), (101, finnish, None), (102, "все люди рождаются свободными и равными в своем достоинстве и правах", None), (103, "xq zvk jjw", None)]
+    docs = spark.createDataFrame(seen + unseen, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r for r in langid.predict(docs, fitted).collect()}
+    assert all(not found[i].rejected and found[i].lang_pred == lang for i, _, lang in seen)
+    assert {i for i, *_ in unseen if not found[i].rejected} == set(), fitted[2]
+    assert sorted(r.doc_id for r in langid.accepted(docs, fitted).collect()) == [i for i, *_ in seen]
+    assert langid.accepted(docs, langid.fit(docs.limit(0))).count() == len(seen + unseen)  # nothing learned, nothing lost
+
+
 def test_quality(spark, no_docs):
     r = np.random.default_rng(0)
     good = ["the house of stone and river", "a long walk over green hills"]
