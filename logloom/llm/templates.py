@@ -4,7 +4,7 @@ Each page is read into a tree of elements; each element has a hash of its subtre
 Spark counts, for each host, in how many of its pages a subtree occurs; subtrees that
 recur in ``SHARE`` of a host's pages, and in ``LEAST`` at least, are its template and go.
 So do elements whose name, role, class or id says that they are no part of the
-article.  Paragraphs, headings, lists and tables inside the article stay, however
+article; the article itself and what it stands in are never judged so.  Paragraphs, headings, lists and tables inside the article stay, however
 often they recur: copies of an article are no template.
 
 A host has at most (elements of a page) / ``SHARE`` recurring subtrees, so its list is
@@ -48,7 +48,7 @@ ENDS = {
 }
 P_SCOPE = frozenset("article aside blockquote body button caption center dd details dialog div dl dt fieldset figure footer form header html li main nav ol section table td th ul".split())
 
-# What isn't the article, by name, role, and the parts of class and id.
+# What isn't the article, by name, role, and the words of a token of class or id.
 NOT_ARTICLE = frozenset("nav aside footer form menu button dialog input label datalist object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 PARTS = frozenset(
@@ -59,6 +59,16 @@ STAYS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table th
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Their content is code, so without an end tag they reach to the end of the page.
+CODE = frozenset(["script", "style"])
+#: These do not nest and never span the end of the page's text: what begins or ends so within them shows that their end tag is missing.
+_UNNESTED = frozenset(["iframe", "noscript", "select"])
+_RAW_END = {name: re.compile(rf"(</{name}(?![a-z0-9-]))" + (rf"|<{name}(?![a-z0-9-])|</(?:article|main|body|html)(?![a-z0-9-])" if name in _UNNESTED else ""), re.I | re.A) for name in RAW}
+
+
+def _listed(value: str) -> bool:
+    """Whether a class or id has a token all of whose words are ``PARTS``: ``cookie-notice``, but not ``no-sidebar``."""
+    return any((words := _WORD.findall(token)) and PARTS.issuperset(words) for token in value.split())
 
 
 class Page:
@@ -70,12 +80,14 @@ class Page:
         self.hashes = [0]
         self.blocks: list[list[tuple[int, str]]] = [[]]
         self.stack = [0]
+        self.endless: set[str] = set()
+        self.listed, self.aside = [False], [False]
         self.read(source)
         while len(self.stack) > 1:
             self._close()
 
     def read(self, source: str) -> None:
-        at, lower = 0, None
+        at = 0
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
                 self._text(source[at : m.start()])
@@ -88,15 +100,26 @@ class Page:
                 self._end(name)
                 continue
             if name in RAW:  # up to its end tag nothing is a tag
-                lower = lower or source.lower()
-                at = lower.find(f"</{name}", at)
-                if at < 0:
+                if name in ("svg", "math") and (m[3] or m[6] or "").endswith("/"):
+                    continue
+                end = self._raw_end(source, name, at)
+                if end < 0 and name in CODE:
                     return
+                at = max(at, end)
                 continue
             self._start(name, m[3] or m[6] or "")
         if at < len(source):
             self._text(source[at:])
 
+    def _raw_end(self, source: str, name: str, at: int) -> int:
+        """Where the end tag of a raw element begins; -1 if it has none of its own."""
+        if name in self.endless:
+            return -1
+        found = _RAW_END[name].search(source, at)
+        if not found:
+            self.endless.add(name)
+        return found.start() if found and found[1] else -1
+
     def _text(self, raw: str) -> None:
         top = self.stack[-1]
         self.blocks[-1].append((top, raw))
@@ -119,24 +142,28 @@ class Page:
             self.blocks[-1].append((self.stack[-1], " "))
         if name in VOID:
             return
-        words: set[str] = set()
-        role = ""
+        listed, header, role = False, False, ""
         if attributes:
             for key, *value in _ATTRIBUTE.findall(attributes):
                 value = "".join(value).lower()
                 if key.lower() == "role":
                     role = value
                 else:
-                    words.update(_WORD.findall(value))
-        foreign = name in NOT_ARTICLE or role in ROLES or (not PARTS.isdisjoint(words) and name not in ("html", "body"))
+                    listed = listed or _listed(value)
+                    header = header or "header" in value.split()
+        foreign = name in NOT_ARTICLE or role in ROLES
         # The header of the page goes; that of an article holds its heading.
-        foreign = foreign or (name == "header" or "header" in words) and not any(self.tags[i] == "article" for i in self.stack)
+        outside = not any(self.tags[i] == "article" for i in self.stack)
+        foreign = foreign or name == "header" and outside
+        listed = (listed or header and outside) and name not in ("html", "body")
         if (name in ("article", "main") or role == "main") and not foreign:
             self.roots.append(len(self.tags))
         self.stack.append(len(self.tags))
         self.parents.append(self.stack[-2])
         self.tags.append(name)
         self.foreign.append(foreign)
+        self.listed.append(listed)
+        self.aside.append(foreign and name != "form")  # a form may hold the page
         self.parts.append([])
         self.hashes.append(0)
 
@@ -170,18 +197,33 @@ class Page:
             self.parts[i] = []
 
     def main(self) -> int:
-        """The article with the most text; else the main element with the most; else everything."""
-        for kinds in (("article",), None):
-            roots = [i for i in self.roots if not kinds or self.tags[i] in kinds]
-            if roots:
-                held = self._inside(roots)
-                sizes = dict.fromkeys(roots, 0)
-                for block in self.blocks:
-                    for i, raw in block:
-                        for root in held[i]:
-                            sizes[root] += len(raw)
-                return max(roots, key=lambda i: (sizes[i], -i))
-        return 0
+        """The article with the most text; else the main element with the most; else everything.
+
+        Ones outside what is listed come first, as a comment is an article too; but an
+        article that holds most of the main element, or stands alone, is one whatever is
+        written on it or around it.
+        """
+        roots = [i for i in self.roots if not self._above(i, self.aside)]
+        if not roots:
+            return 0
+        held = self._inside(roots)
+        sizes = dict.fromkeys(roots, 0)
+        for block in self.blocks:
+            for i, raw in block:
+                for root in held[i]:
+                    sizes[root] += len(raw)
+        plain = [i for i in roots if not self._above(i, self.listed)]
+        most = lambda own: max(own, key=lambda i: (sizes[i], -i), default=0)
+        of = lambda own, article: most([i for i in own if (self.tags[i] == "article") == article])
+        if article := of(plain, True):
+            return article
+        article, main = of(roots, True), of(plain, False) or of(roots, False)
+        return article if article and 2 * sizes[article] > sizes.get(main, 0) else main
+
+    def _above(self, i: int, marks: list[bool]) -> bool:
+        while i > 0 and not marks[i]:
+            i = self.parents[i]
+        return i > 0
 
     def _inside(self, roots: list[int]) -> list[tuple[int, ...]]:
         held: list[tuple[int, ...]] = [()]
@@ -202,7 +244,10 @@ class Page:
         for i in range(1, len(self.tags)):
             inside.append(inside[self.parents[i]] or i == root)
             kept = root and inside[i] and (i == root or self.tags[i] in STAYS)
-            gone.append(gone[self.parents[i]] or self.foreign[i] or (self.hashes[i] in template and not kept))
+            if i == root:  # what is around the article never takes it along
+                gone.append(False)
+                continue
+            gone.append(gone[self.parents[i]] or self.foreign[i] or self.listed[i] or (self.hashes[i] in template and not kept))
         out = []
         for block in self.blocks:
             own = " ".join(html.unescape("".join(raw for i, raw in block if inside[i] and not gone[i])).split())

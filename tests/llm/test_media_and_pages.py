@@ -93,6 +93,25 @@ def test_any_source_gives_a_text(source):
     assert isinstance(page.text(page.subtrees()), str)
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<main class='no-sidebar'><p>Whole</p></main>", "Whole"),
+    ("<div id='page' class='has-sidebar'><article><p>Whole</p></article></div>", "Whole"),
+    ("<article class='post comments-open'><p>Whole</p></article>", "Whole"),
+    ("<div class='sidebar'><article class='widget'><p>Whole</p></article></div>", "Whole"),
+    ("<main><div class='widget'><article>The long text of it</article></div>bit</main>", "The long text of it"),
+    ("<form id=f><article><p>Whole</p></article></form>", "Whole"),
+    ("<article><p>Own</p></article><div class='comments'><article>A long word of a reader</article></div>", "Own"),
+    ("<p>Body</p><aside><article>other</article></aside>", "Body"),
+    ("<article><svg width=1/><p>a</p><math/><p>b</p></article>", "a\nb"),
+    ("<article><iframe src=x><p>a</p><noscript><p>b</p><select><option>c</article>", "a\nb\nc"),
+    ("<article><select><p>a</p><select><option>no</select><p>b</p></article><iframe></iframe>", "a\nb"),
+    ("<article><p>a</p><svg><text>no</text></svg><SCRIPT>İ</p>no</SCRIPT><p>b</p></article>", "a\nb"),
+    ("<article><p>a</p><div class='cookie-notice'>no</div><div class='ad'>no</div></article>", "a"),
+])
+def test_the_list_never_takes_the_article(source, text):
+    assert templates.Page(source).text(set()) == text
+
+
 def test_query_of_pages(spark):
     rows = []
     for i in range(40):
