@@ -1,14 +1,18 @@
 """Main text of web pages, with the templates of their sites removed.
 
 Each page is read into a tree of elements; each element has a hash of its subtree.
-Spark counts, for each host, in how many of its pages a subtree occurs; subtrees that
-recur in ``SHARE`` of a host's pages, and in ``LEAST`` at least, are its template and go.
-So do elements whose name, role, class or id says that they are no part of the
-article; the article itself and what it stands in are never judged so.  Paragraphs, headings, lists and tables inside the article stay, however
-often they recur: copies of an article are no template.
-
-A host has at most (elements of a page) / ``SHARE`` recurring subtrees, so its list is
-small; lists are sent to all executors only if they are few, and else joined by host.
+Spark counts, for each host, in how many of its contents a subtree occurs: pages with
+the same article text are one, so copies of an article have one vote.  Block elements
+whose subtree recurs in ``LEAST`` contents at least, and in ``SHARE`` of the host's or in
+``ENOUGH`` (the template of a section of a large host), are its template and go; inline
+elements go only with a block.  So do elements whose name, role, class or id says that
+they are no part of the article; the article itself and what it stands in are never
+judged so.  Paragraphs, headings, lists and tables inside the article stay, however
+often they recur.  A page without article and main is all text, and there paragraphs go
+like other blocks.
+
+Template hashes are sent to all executors only if they are few; else each page's own are
+looked up by a join, so no task holds the list of a host.
 
 Defined results: a null or empty html, and a page without text, give an empty text; a
 null url is a host of its own; repeated rows are pages like others; an empty table gives
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import slices, table
 
-SHARE, LEAST, MOST_SENT = 0.2, 8, 100_000
+SHARE, LEAST, ENOUGH, MOST_SENT = 0.2, 8, 200, 100_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +85,7 @@ class Page:
         self.blocks: list[list[tuple[int, str]]] = [[]]
         self.stack = [0]
         self.endless: set[str] = set()
+        self.root: int | None = None
         self.listed, self.aside = [False], [False]
         self.read(source)
         while len(self.stack) > 1:
@@ -197,6 +202,11 @@ class Page:
             self.parts[i] = []
 
     def main(self) -> int:
+        if self.root is None:
+            self.root = self._main()
+        return self.root
+
+    def _main(self) -> int:
         """The article with the most text; else the main element with the most; else everything.
 
         Ones outside what is listed come first, as a comment is an article too; but an
@@ -236,7 +246,12 @@ class Page:
         """Hashes of the subtrees that may be a template."""
         root = self.main()
         inside = self._inside([root]) if root else None
-        return {h for i, h in enumerate(self.hashes) if h and not (inside and inside[i] and (i == root or self.tags[i] in STAYS))}
+        return {h for i, h in enumerate(self.hashes) if h and self.tags[i] in BLOCKS and not (inside and inside[i] and (i == root or self.tags[i] in STAYS))}
+
+    def content(self) -> int:
+        """A hash of the text that the page has before templates are known."""
+        digest = xxhash.xxh64_intdigest(self.text(set()))
+        return digest - (1 << 64) if digest >> 63 else digest
 
     def text(self, template: set[int]) -> str:
         root = self.main()
@@ -261,37 +276,68 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """``host`` and ``subtrees``, the hashes of the subtrees that recur in its pages."""
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, enough: int = ENOUGH) -> DataFrame:
+    """``host`` and ``subtree``, the hash of a subtree that recurs in its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                hosts, found = [], []
+                hosts, found, contents = [], [], []
                 for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own = Page(source or "").subtrees() | {0}  # 0 counts the pages
+                    page = Page(source or "")
+                    own = page.subtrees() | {0}  # 0 counts the contents
                     hosts += [host] * len(own)
                     found += own
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "subtree"])
+                    contents += [page.content()] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(contents, pa.int64())], names=["host", "subtree", "content"])
 
-    counts = _hosts(pages).select("host", "html").mapInArrow(run, "host string, subtree bigint").groupBy("host", "subtree").count()
+    seen = _hosts(pages).select("host", "html").mapInArrow(run, "host string, subtree bigint, content bigint")
+    counts = seen.distinct().groupBy("host", "subtree").count()
     counts = table(counts.where(F.col("count") >= least), "subtrees")
-    all_pages = counts.where("subtree = 0").select("host", F.col("count").alias("pages"))
-    often = counts.where("subtree <> 0").join(all_pages, "host").where(F.col("count") >= share * F.col("pages"))
-    return table(often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees")), "templates")
+    contents = counts.where("subtree = 0").select("host", F.col("count").alias("contents"))
+    often = (F.col("count") >= share * F.col("contents")) | (F.col("count") >= enough)
+    return table(counts.where("subtree <> 0").join(contents, "host").where(often).select("host", "subtree"), "templates")
+
+
+def _looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``subtrees``, those of each page that are templates of its host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                every = [Page(source or "").subtrees() for source in batch.column(2).to_pylist()]
+                at = pa.array([i for i, own in enumerate(every) for _ in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h for own in every for h in own], pa.int64())], names=["of", "key", "subtree"])
+
+    rows = rows.withColumn("__key", F.xxhash64("html"))
+    own = rows.select("host", "__key", "html").mapInArrow(run, "of string, key bigint, subtree bigint").distinct()
+    # A template may be in most pages of a host, so each is dealt out to sixteen places.
+    own = own.withColumn("salt", F.pmod("key", F.lit(16)))
+    found = found.select(F.col("host").alias("of"), "subtree", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("salt"))
+    own = own.join(found, ["of", "subtree", "salt"]).groupBy("of", "key").agg(F.collect_list("subtree").alias("subtrees"))
+    return rows.join(own, (F.col("host") == F.col("of")) & (F.col("__key") == F.col("key")), "left")
 
 
-def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST, enough: int = ENOUGH, sent: int = MOST_SENT) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for each page."""
-    found = templates(pages, share, least).withColumnRenamed("host", "of")
-    if (found.agg(F.sum(F.size("subtrees"))).first()[0] or 0) <= MOST_SENT:
-        found = F.broadcast(found)
-    rows = _hosts(pages).join(found, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "subtrees")
+    found = templates(pages, share, least, enough)
+    rows, shared = _hosts(pages), None
+    if found.count() <= sent:
+        lists: dict[str, set[int]] = {}
+        for host, subtree in found.collect():
+            lists.setdefault(host, set()).add(subtree)
+        shared = pages.sparkSession.sparkContext.broadcast(lists)
+        rows = rows.select("page_id", "url", "html", "host")
+    else:
+        rows = _looked_up(rows, found).select("page_id", "url", "html", "subtrees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = shared.value if shared else None
         for whole in batches:
             for batch in slices(whole, "html"):
-                texts = [Page(source or "").text(set(template or ())) for source, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                last = batch.column(3).to_pylist()
+                own = [lists.get(host, set()) for host in last] if shared else [set(x or ()) for x in last]
+                texts = [Page(source or "").text(template) for source, template in zip(batch.column(2).to_pylist(), own)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2]]

@@ -126,3 +126,21 @@ def test_query_of_pages(spark):
     assert all(texts[100 + i] == f"Same copy\nown {i}" for i in range(1, 30))  # in an article paragraphs stay
     assert texts[200] == texts[201] == "" and texts[None] == "free text"
     assert templates.main_text(pages.limit(0)).count() == 0
+
+
+def test_copies_have_one_vote_and_inline_elements_stay(spark):
+    copy = "<article><section><h1>Head</h1><div><p>One <b>bold</b></p></div></section></article>"
+    rows = [(i, "http://a.example/x", copy) for i in range(40)] + [(100 + i, "http://a.example/y", f"<article><p>Other {i}</p></article>") for i in range(20)]
+    rows += [(200 + i, "http://b.example/x", f"<article><p><strong>Note</strong> of {i} <code>x</code></p><div>Share</div></article>") for i in range(20)]
+    rows += [(300 + i, "http://c.example/x", "<p>Long paragraph</p><div>and its end</div>") for i in range(20)]
+    rows += [(400 + i, "http://d.example/x", f"<article><p>Page {i}</p>{'<div>Section line</div>' if i < 30 else ''}</article>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for sent in (100_000, 0):  # lists sent, and looked up by a join
+        found = {r.page_id: r.text for r in templates.main_text(pages, enough=25, sent=sent).collect()}
+        assert len(found) == len(rows)
+        assert all(found[i] == "Head\nOne bold" for i in range(40))  # copies of an article are no template
+        assert all(found[200 + i] == f"Note of {i} x" for i in range(20))  # no word is cut out of its sentence
+        assert all(found[300 + i] == "Long paragraph\nand its end" for i in range(20))  # nor are copies without an article
+        assert all(found[400 + i] == f"Page {i}" for i in range(300))  # a tenth of the host, but often enough
+    found = {r.page_id: r.text for r in templates.main_text(pages).collect()}
+    assert found[400] == "Page 0\nSection line"
