@@ -57,6 +57,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever signs the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))
