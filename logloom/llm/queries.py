@@ -92,31 +92,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: The words' place in a source's line follows from md5, which both engines have, so the whole mix can be said in SQL.
+#: A word's place in a source's line follows from md5, which both engines have, so the whole mix can be said in SQL.
 _OP1 = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\x0C\r]+'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\x0C\r]+'))::BIGINT AS size,
+    md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place FROM documents),
 of_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight, 3 * source_size AS cap FROM of_source),
 rising AS (SELECT *, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
     sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open, sum(source_size) OVER ()::BIGINT AS total
   FROM weighted WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
 levels AS (SELECT *, max(CASE WHEN (total - capped) / open * weight <= cap THEN (total - capped) / open END) OVER () AS level FROM rising),
-targets AS (SELECT source, source_size, total, CASE WHEN level IS NULL OR level * weight > cap THEN cap::DOUBLE ELSE level * weight END AS target FROM levels),
-blocks AS (SELECT *, greatest(1, least(128, coalesce(floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100), 128)))::BIGINT AS block, count(*) OVER () AS sources FROM targets),
-houses AS (SELECT *, ceil(source_size / block)::BIGINT AS blocks, ceil(total / block)::BIGINT AS house FROM blocks),
-based AS (SELECT *, CASE WHEN target > 0 THEN floor(target / (sum(target) OVER () / greatest(house - sources, 1)) + 0.5) ELSE 0 END::BIGINT AS base FROM houses),
-due AS (SELECT *, greatest(0, house - sum(base) OVER ())::BIGINT AS due FROM based),
-bids AS (SELECT source, due, target, base + unnest(range(1, due + 1)) AS nth FROM due WHERE target > 0),
-won AS (SELECT source AS winner, count(*) AS won FROM (SELECT source, due, row_number() OVER (ORDER BY target / (2 * nth - 1) DESC, source NULLS LAST, nth) AS rank FROM bids) WHERE rank <= due GROUP BY source),
-plan AS (SELECT due.*, greatest(blocks, 1) AS n, least(base + coalesce(won, 0), 3 * blocks)::BIGINT AS seats, ('0x' || substr(md5('17:' || coalesce(source, '')), 1, 8))::BIGINT % greatest(blocks, 1) AS shift
-  FROM due LEFT JOIN won ON source IS NOT DISTINCT FROM winner),
-lined AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
-placed AS (SELECT l.doc_id, l.size, p.source_size, p.target, p.block, p.n, p.seats // p.n AS passes, p.seats % p.n AS rest, p.shift, l.start, l.start + l.size AS stop,
-    l.start // p.block AS first, (l.start + l.size - 1) // p.block AS last FROM lined l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source),
-hits AS (SELECT *, ((shift + first)::HUGEINT * rest // n)::BIGINT AS f0, ((shift + first + 1)::HUGEINT * rest // n)::BIGINT AS f1, ((shift + last)::HUGEINT * rest // n)::BIGINT AS l0, ((shift + last + 1)::HUGEINT * rest // n)::BIGINT AS l1 FROM placed)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 WHEN first = last THEN passes * size + (f1 - f0) * size
-  ELSE passes * size + block * (l0 - f1) + (f1 - f0) * (block * (first + 1) - start) + (l1 - l0) * (stop - block * last) END::BIGINT AS taken FROM hits
+targets AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * weight > cap THEN cap::DOUBLE ELSE level * weight END AS target FROM levels),
+blocked AS (SELECT *, least(128, pow(2.0, floor(log2(greatest(target / 100, 1.0)))))::BIGINT AS block FROM targets),
+houses AS (SELECT *, ceil(source_size / block)::BIGINT AS blocks, sum(target) OVER h AS wanted, floor(sum(target) OVER h / block + 0.5)::BIGINT AS house, count(*) OVER h AS sources
+  FROM blocked WINDOW h AS (PARTITION BY block)),
+based AS (SELECT *, least(CASE WHEN target > 0 THEN floor(target / (wanted / greatest(house - sources, 1)) + 0.5) ELSE 0 END::BIGINT, 3 * blocks) AS base FROM houses),
+due AS (SELECT *, greatest(0, house - sum(base) OVER (PARTITION BY block))::BIGINT AS due FROM based),
+bids AS (SELECT source, block, due, target, base + unnest(range(1, least(due, 3 * blocks - base) + 1)) AS nth FROM due WHERE target > 0),
+won AS (SELECT source AS winner, count(*) AS won FROM (SELECT source, due, row_number() OVER (PARTITION BY block ORDER BY target / (2 * nth - 1) DESC, source NULLS LAST, nth) AS rank FROM bids) WHERE rank <= due GROUP BY source),
+plan AS (SELECT due.*, base + coalesce(won, 0) AS seats FROM due LEFT JOIN won ON source IS NOT DISTINCT FROM winner),
+lined AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
+placed AS (SELECT l.*, l.start + l.size AS stop, p.source_size, p.target, p.block, p.blocks AS n, p.seats AS q, l.start // p.block AS first, (l.start + l.size - 1) // p.block AS last
+  FROM lined l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source),
+points AS (SELECT row, source, n, q, unnest([0, 1, 2, 3]) AS point, unnest([first, first + 1, last, last + 1]) AS i FROM placed WHERE size > 0),
+sharded AS (SELECT *, (128 * i + 63) // (2 * n) AS k FROM points),
+edged AS (SELECT *, (2 * k * n + 64) // 128 AS b0, (2 * (k + 1) * n + 64) // 128 AS b1 FROM sharded),
+seated AS (SELECT *, (2 * b0::HUGEINT * q + n) // (2 * n) AS s0, (2 * b1::HUGEINT * q + n) // (2 * n) AS s1, greatest(b1 - b0, 1) AS m,
+    ('0x' || substr(md5('17:' || coalesce(source, '') || ':' || k), 1, 8))::BIGINT % greatest(b1 - b0, 1) AS a FROM edged),
+filled AS (SELECT row, point, s0 + ((s1 - s0) // m) * (i - b0) + ((a + i - b0) * ((s1 - s0) % m) // m) - (a * ((s1 - s0) % m) // m) AS h FROM seated),
+four AS (SELECT row, max(h) FILTER (point = 0) AS f0, max(h) FILTER (point = 1) AS f1, max(h) FILTER (point = 2) AS l0, max(h) FILTER (point = 3) AS l1 FROM filled GROUP BY row)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 WHEN first = last THEN (f1 - f0) * size
+  ELSE (f1 - f0) * (block * (first + 1) - start) + block * (l0 - f1) + (l1 - l0) * (stop - block * last) END::BIGINT AS taken,
+  CASE WHEN size > 0 THEN (128 * first + 63) // (2 * n) END::BIGINT AS shard
+FROM placed LEFT JOIN four USING (row)
 """
 
 
