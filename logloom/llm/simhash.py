@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import drop_table, slices, table
+from logloom.llm.common import drop_table, named, slices, table
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 4096
 
@@ -54,18 +54,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``doc_id``, ``fp``, the fingerprint as a signed long, and the columns ``keep``."""
+    """``keep`` (by default ``doc_id``) and ``fp``, the fingerprint of ``text`` as a signed long."""
+    base = docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("__text"))
+    names = base.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], np.uint64)
-            further = range(2, batch.num_columns)
-            columns = [batch.column(0), pa.array(found.view(np.int64)), *[batch.column(i) for i in further]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *[batch.schema.names[i] for i in further]])
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                texts = batch.column("__text").cast(pa.binary())
+                found = np.array([fingerprint(t or b"") for t in texts.to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    base = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("__text"), *keep)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return base.mapInArrow(run, ", ".join([kinds[0], "fp bigint", *kinds[2:]]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
+    return base.mapInArrow(run, ", ".join([*kinds, "fp bigint"]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -172,21 +173,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
 
 def first_of_each(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest id (null is the last),
-    then the smallest digest of the text, then the smallest hash of the further columns.
+    then the smallest digest of the text, then the smallest digest of the further columns.
 
-    The component is that of the row's own text, so neither null nor repeated ids mix rows up.
+    The component is that of the row's own text, so neither null nor repeated ids mix rows
+    up; each row has a number of its own, by which the survivors are found again.
     """
     further = [c for c in docs.columns if c not in ("doc_id", "text")]
-    digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")).alias("__digest")
-    others = (F.xxhash64(F.to_json(F.struct(*further))) if further else F.lit(0).cast("bigint")).alias("__others")
-    prints = table(fingerprints(docs, digest, others), "fingerprints")
+    digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    others = F.md5(F.to_json(F.struct(*map(named, further))).cast("binary")) if further else F.lit("")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), digest.alias("digest"), others.alias("others"))
+    columns = [named(c).alias(f"__{i}") for i, c in enumerate(docs.columns)]
+    rows = table(fingerprints(docs, F.monotonically_increasing_id().alias("__row"), place.alias("__place"), *columns), "rows")
+    prints = table(rows.select(F.col("__place.doc_id").alias("doc_id"), "fp", F.struct("__place", "__row").alias("first")), "fingerprints")
     rooted = _rooted(prints, radius, block).select("fp", "root")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__others")
     # Rows of one fingerprint first, so that a large component is small before it is dealt out.
-    firsts = prints.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    firsts = firsts.select(F.col("first.doc_id").alias("__first"), F.col("first.__digest").alias("__of"), F.col("first.__others").alias("__with"))
-    rows = docs.select(F.col("doc_id").alias("__own"), digest, others, F.struct(*docs.columns).alias("__row"))
-    # Rows that agree in all three are equal, so any of them will do.
-    rows = rows.groupBy("__own", "__digest", "__others").agg(F.first("__row").alias("__row"))
-    same = F.col("__own").eqNullSafe(F.col("__first")) & (F.col("__digest") == F.col("__of")) & (F.col("__others") == F.col("__with"))
-    return rows.join(firsts, same, "left_semi").select("__row.*")
+    firsts = prints.groupBy("fp").agg(F.min("first").alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = rows.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi")
+    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
