@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
@@ -19,15 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset.
 
-    Where the session sets none (tests on one machine) a temporary one is set.
+    A path without a scheme is one of the default file system.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/") if "://" in folder else "file://" + folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -41,16 +40,50 @@ def table(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs no more than the tasks that ran on it.
     """
     path = new_folder(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: For each open :func:`scratch` the tables written within.
+_OPEN: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a result of :func:`table` that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _remove(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end the tables written within it, but for those it is told to keep.
+
+    What is kept must be a result of :func:`table`, so that nothing removed is read again.
+    """
+    made: list[str] = []
+    kept_names: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept_names.update(f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles())
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for folder in made:
+            if folder.rpartition("/")[2] not in kept_names:
+                _remove(spark, folder)
+            elif _OPEN:
+                _OPEN[-1].append(folder)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import table
+from logloom.llm.common import scratch, table
 
 K, SCALE, LEAST_PIVOTS, MOST_PIVOTS, DRAWN, GROUP_QUERIES, CHUNK = 10, 1024, 32, 4096, 3, 1024, 25_000
 #: Components of a matrix in a task, and of the vectors of a chunk.
@@ -187,7 +187,11 @@ def _spread(drawn: np.ndarray, n: int) -> np.ndarray:
 
 def prepared(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE, pivots: int | None = None, group_queries: int = GROUP_QUERIES) -> tuple[DataFrame, Plan | None]:
     """The vectors with their cells, and the plan of the join; no plan if there are no queries."""
-    rows = integers(vectors, scale)
+    with scratch(vectors.sparkSession) as keep:
+        return _prepared(integers(vectors, scale), every, k, pivots, group_queries, keep)
+
+
+def _prepared(rows: DataFrame, every: int, k: int, pivots: int | None, group_queries: int, keep) -> tuple[DataFrame, Plan | None]:
     n = rows.count()
     pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(DRAWN * pivots).select("vec_id", "v").collect()  # DRAWN * MOST_PIVOTS rows at most
@@ -195,7 +199,7 @@ def prepared(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCAL
     middle = _matrix(pa.array([r.v for r in drawn], pa.list_(pa.int64())), width)
     chosen = _spread(middle, pivots)
     middle = middle[chosen]
-    placed = table(_assign(rows, middle, np.array([drawn[i].vec_id for i in chosen], np.int64), every, k), "cells")
+    placed = keep(table(_assign(rows, middle, np.array([drawn[i].vec_id for i in chosen], np.int64), every, k), "cells"))
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     summary = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("reach").alias("reach"), F.count_if(is_query).alias("queries"), F.max(F.when(is_query, F.col("reach"))).alias("asked"), F.min(F.when(is_query, F.col("floor"))).alias("floor")

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import named, table
+from logloom.llm.common import named, scratch, table
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -276,8 +276,9 @@ def _bare(spans: Column) -> Column:
 
 def _with_extra(found: DataFrame) -> DataFrame:
     """``found`` with ``extra``, the discovered spans of each row; equal rows find equal spans."""
-    extra = discover(found).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
-    extra = table(extra.withColumnsRenamed({"doc_id": "__id", "key": "__key"}), "pii-extra")
+    with scratch(found.sparkSession) as keep:
+        extra = discover(found).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
+        extra = keep(table(extra.withColumnsRenamed({"doc_id": "__id", "key": "__key"}), "pii-extra"))
     rows = found.join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
     return rows.withColumn("extra", F.coalesce("extra", _none(_PLAIN))).drop("__id", "__key")
 

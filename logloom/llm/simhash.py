@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import drop_table, named, slices, table
+from logloom.llm.common import drop_table, named, scratch, slices, table
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 4096
 
@@ -156,10 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(prints: DataFrame, radius: int, block: int) -> DataFrame:
     """``fp``, ``least`` (its smallest id) and ``root`` for each distinct fingerprint of ``prints``."""
-    points = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    found = components(links(points, radius, block))
-    rooted = points.join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return table(rooted, "roots")
+    with scratch(prints.sparkSession) as keep:
+        points = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+        found = components(links(points, radius, block))
+        rooted = points.join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        return keep(table(rooted, "roots"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
