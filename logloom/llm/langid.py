@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import crc_of_id, slices, table
+from logloom.llm.common import crc_of_id, named, scratch, slices, table
 
 ORDER, SAMPLE, DISCOUNT, MOST_WORDS = 4, 1000, 0.75, 200_000
 #: A text is rejected beyond this quantile of what its language's documents of like length
@@ -213,7 +213,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[
     for lang, n in sorted(counts.items()):
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(part)
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = table(rows.where(draw < part), "langid-sample")
+    with scratch(labelled.sparkSession):
+        return _fitted(table(rows.where(draw < part), "langid-sample"), order)
+
+
+def _fitted(chosen: DataFrame, order: int) -> tuple[Models, float, list[list[float]]]:
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))
     models = Models(count_grams(chosen.where(fold != 0), order).toPandas(), order)
     if not models.langs:
@@ -299,14 +303,16 @@ def held_out() -> Column:
 
 
 def accepted(docs: DataFrame, fitted: tuple[Models, float, list[list[float]]]) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, as they are; all if no language was learned."""
+    """The rows of ``docs`` that are not rejected, those without a ``lang`` with the one found; all as they are if no language was learned."""
     models, _, most = fitted
     if not models.langs:
         return docs
     # The row travels along with its text, so nothing has to be joined again.
-    rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], "text")
+    rows = docs.select(*[named(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], "text")
     scored = costs(rows, models, [F.col(f"__{i}") for i in range(len(docs.columns))])
     best = F.array_min("bits")
-    limit = _bound(most, F.array_position("bits", best).cast("int"))
-    kept = scored.where((F.col("letters") > 0) & (best / F.col("letters") <= limit))
-    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    at = F.array_position("bits", best).cast("int")
+    kept = scored.where((F.col("letters") > 0) & (best / F.col("letters") <= _bound(most, at)))
+    found = F.element_at(F.array(*map(F.lit, models.langs)), at)
+    own = lambda i, c: F.coalesce(F.col(f"__{i}"), found) if c == "lang" and docs.schema[c].dataType.typeName() == "string" else F.col(f"__{i}")
+    return kept.select(*[own(i, c).alias(c) for i, c in enumerate(docs.columns)])
