@@ -11,8 +11,9 @@ Bounds: ``ROWS`` + ``SHAPES`` vectors of ``WIDTH`` numbers; ``SAMPLE`` labelled
 by a hash of the id.  Counts cover all documents.
 
 Defined results: null and empty texts have zero features and a score like any other; null
-ids are scored and taken as not held out; repeated rows give repeated results; without
-labels every score is 0.5; an empty table gives an empty result; further columns are not
+ids are scored and taken as not held out; ids may be numbers or texts; repeated rows give
+repeated results, and of a labelled id with several texts the smallest is learned from;
+without labels every score is 0.5; an empty table gives an empty result; further columns are not
 read.
 """
 
@@ -88,7 +89,7 @@ def _shape_rows(tokens: list[str]) -> np.ndarray:
     for pattern, sign in ((r"[A-ZÀ-ÖØ-Þ]+", "\0"), (r"\p{L}+", "x"), (r"\p{Nd}+", "9")):
         marked = pc.replace_substring_regex(marked, pattern, sign)
     coded = marked.dictionary_encode()
-    rows = [ROWS + xxhash.xxh32_intdigest(_SAME.sub(r"\1", m.replace("\0", "X"))[:32]) % SHAPES for m in coded.dictionary.to_pylist()]
+    rows = [ROWS + xxhash.xxh32_intdigest(_SAME.sub(r"\1", m.replace("\0", "X"))) % SHAPES for m in coded.dictionary.to_pylist()]
     return np.array(rows, np.int64)[coded.indices.to_numpy()]
 
 
@@ -231,12 +232,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     chosen = known.where(draw < min(1.0, sample / max(n, 1))).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("quality"))
     vectors = word_vectors(docs)
     # About SAMPLE ids of a few bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    drawn = pooled(rows, vectors, [F.col("doc_id"), F.col("quality")]).orderBy("doc_id").toPandas()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    # However often an id is repeated, its smallest text stands for it.
+    rows = rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    fold = F.pmod(F.xxhash64(F.lit("check"), F.col("__id").cast("string")), F.lit(5))
+    drawn = pooled(rows, vectors, [F.col("__id").cast("string").alias("id"), F.col("quality"), fold.alias("fold")]).toPandas().sort_values("id")
     model = None
     if len(drawn):
         x = np.stack(drawn["features"]).astype(np.float64)
-        check = (drawn["doc_id"].to_numpy().astype(np.int64) * 2654435761 >> 8) % 5 == 0
+        check = drawn["fold"].to_numpy() == 0
         model = Network(x, drawn["quality"].to_numpy().astype(float), check)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
