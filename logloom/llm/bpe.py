@@ -7,7 +7,8 @@ left leave it.  Spark deals out the texts; a task holds one slice of them.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated
 results; extra columns are not read; an empty table gives an empty result; very
-long pre-tokens are encoded whole (see ``_one_row``).
+long pre-tokens are encoded whole, and rows over ``WIDE`` bytes find the same pairs in the
+same order by a heap (see ``_one_row``), as a matrix would take the square of their length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ class Pairs:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
+        self.parts = left, right, rank
         keys = self._key(np.array(left, np.int64), np.array(right, np.int64))
         bits = max(4, int(len(keys) * 4).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
@@ -94,6 +97,7 @@ class Bpe:
         self.pairs = Pairs(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {r: t for t, r in ranks.items()}
+        self.one_by_one: dict[tuple[int, int], int] = {}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; each match of the pattern is encoded by itself."""
@@ -150,31 +154,35 @@ class Bpe:
             ranks[has, at[has] - 1] = self.pairs(ids[has, at[has] - 1], ids[has, at[has]])
 
     def _one_row(self, ids: np.ndarray) -> np.ndarray:
-        """A row of its own: rounds that merge the same pair from left to right are taken together.
-
-        After one such merge the next round picks the next place of the same pair,
-        unless a pair that the merge has made ranks lower; then only the leftmost
-        merges, as in the matrix.
-        """
-        ids = ids.copy()
-        while len(ids) > 1:
-            ranks = self.pairs(ids[:-1], ids[1:])
-            low = ranks.min()
-            if low == NONE:
-                break
-            at = np.flatnonzero(ranks == low)
-            if len(at) > 1:  # of places that overlap every second one counts
-                run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
-                first = np.concatenate([[True], np.diff(run) != 0])
-                at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))) % 2 == 0]
-                made = np.full(len(at), low, np.int32)
-                before, after = np.where(at > 0, ids[at - 1], -1), np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
-                near = np.minimum(self.pairs(before, made), self.pairs(made, after)).min()
-                if min(near, self.pairs(made[:1], made[:1])[0]) < low:
-                    at = at[:1]
-            ids[at] = low
-            ids = np.delete(ids, at + 1)
-        return ids
+        """A row of its own: the leftmost pair of the lowest rank comes from a heap, neighbours from links."""
+        if not self.one_by_one:
+            left, right, rank = self.pairs.parts
+            self.one_by_one = dict(zip(zip(left, right), rank))
+        rank_of = self.one_by_one.get
+        own, n = ids.tolist(), len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        low = self.pairs(ids[:-1], ids[1:]).tolist() + [int(NONE)]  # of each place and the next
+        heap = [(r, i) for i, r in enumerate(low) if r != NONE]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            if low[i] != r:  # merged in the meantime
+                continue
+            gone = after[i]
+            own[i], low[gone] = r, -1
+            after[i] = j = after[gone]
+            low[i] = NONE
+            if j < n:
+                before[j] = i
+                low[i] = rank_of((r, own[j]), NONE)
+                if low[i] != NONE:
+                    heappush(heap, (low[i], i))
+            own[gone] = -1
+            if (k := before[i]) >= 0:
+                low[k] = rank_of((own[k], r), NONE)
+                if low[k] != NONE:
+                    heappush(heap, (low[k], k))
+        return np.array([x for x in own if x >= 0], np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
