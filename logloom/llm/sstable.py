@@ -10,13 +10,14 @@ A shard holds documents in ascending order of their identifier.  Its parts, in o
 
 A lookup asks the filter, then searches the index and one block by halving.
 
-Spark sorts the documents into ranges of identifiers; a task writes the shard of its
-range under a name of its own and renames it, so a task that is run again replaces its
-shard with the same bytes.  Keys are a byte that is 0 for null, then the identifier as
+Spark sorts the documents into ranges of identifiers, as many as their number and bytes ask
+for; rows that share an identifier may be in several.  A task writes the shard of its range
+to a file of its attempt and returns the file's path, so readers only know files that are
+whole; those of other attempts are removed.  File systems are those of pyarrow's URIs.  Keys are a byte that is 0 for null, then the identifier as
 eight bytes in an order-preserving form.
 
 Defined results: null and empty texts have only the end id; a null identifier sorts
-first; repeated identifiers are kept, in the order of their texts; an empty table gives
+first; repeated identifiers are kept, in the order of a hash of their texts; an empty table gives
 shards without entries; further columns are not read.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,6 +45,8 @@ from logloom.llm.common import kept, new_folder, slices, table
 MAGIC = b"LLSST001"
 FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK_BYTES, BITS_PER_KEY, PROBES = 256 << 10, 10, 7
+#: Bytes of texts, and documents, to a shard.
+SHARD_BYTES, SHARD_DOCS = 128 << 20, 1 << 20
 SIGN = 1 << 63
 
 
@@ -73,9 +77,9 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def _bits(keys: list[bytes], size: int) -> np.ndarray:
-    """The places of the keys in a Bloom filter of ``size`` bits, one row for each key."""
-    h = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The places of keys with these hashes in a Bloom filter of ``size`` bits, one row for each key."""
+    h = hashes
     step = (h >> np.uint64(32)) | np.uint64(1)
     return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(size)
 
@@ -85,14 +89,14 @@ class Writer:
 
     def __init__(self, out, wide: bool):
         self.out, self.wide, self.at = out, wide, 0
-        self.keys: list[bytes] = []
+        self.hashes, self.n_keys = array("Q"), 0
         self.index: list[tuple[bytes, int, int, int]] = []
         self.ids = self.first = 0
         self.squeeze = zstandard.ZstdCompressor(level=1)
         self._begin()
 
     def _begin(self) -> None:
-        self.block, self.held, self.last, self.first = [], 0, b"", len(self.keys)
+        self.block, self.held, self.last, self.first = [], 0, b"", self.n_keys
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         value = ids.astype("<u4" if self.wide else "<u2").tobytes()
@@ -100,7 +104,10 @@ class Writer:
         self.block += [varint(shared), varint(len(key) - shared), varint(len(value)), key[shared:], value]
         self.held += len(value) + 12
         self.last = key
-        self.keys.append(key)
+        if not self.n_keys or key != self.previous:
+            self.hashes.append(xxhash.xxh64_intdigest(key))
+        self.previous = key
+        self.n_keys += 1
         self.ids += len(ids)
         if self.held >= BLOCK_BYTES:
             self._end()
@@ -120,12 +127,12 @@ class Writer:
         self._end()
         index_at = self.at
         self._put(b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QQQ", *rest) for k, *rest in self.index))
-        bloom_at, size = self.at, max(64, (len(self.keys) * BITS_PER_KEY + 7) // 8 * 8)
-        bloom = np.zeros(size, np.uint8)
-        for first in range(0, len(self.keys), 1 << 16):
-            bloom[_bits(self.keys[first : first + (1 << 16)], size)] = 1
+        bloom_at, size = self.at, max(64, (len(self.hashes) * BITS_PER_KEY + 7) // 8 * 8)
+        bloom, hashes = np.zeros(size, np.uint8), np.frombuffer(self.hashes, np.uint64)
+        for first in range(0, len(hashes), 1 << 16):
+            bloom[_bits(hashes[first : first + (1 << 16)], size)] = 1
         self._put(np.packbits(bloom, bitorder="little").tobytes())
-        self._put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, size, len(self.keys), self.ids, len(self.index), self.wide, MAGIC))
+        self._put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, size, self.n_keys, self.ids, len(self.index), self.wide, MAGIC))
 
 
 class Reader:
@@ -171,7 +178,7 @@ class Reader:
         if self.bloom is None:
             raw = np.frombuffer(self.file.read_at((self.bloom_bits + 7) // 8, self.bloom_at), np.uint8)
             self.bloom = np.unpackbits(raw, bitorder="little")
-        return bool(self.bloom[_bits([key], self.bloom_bits)].all())
+        return bool(self.bloom[_bits(np.array([xxhash.xxh64_intdigest(key)], np.uint64), self.bloom_bits)].all())
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """The values of a key: none, one, or several in order."""
@@ -198,10 +205,13 @@ class Reader:
 
 
 def filesystem(uri: str):
-    """A file system of pyarrow for a folder that driver and executors share, and the path in it."""
+    """A file system of pyarrow for a folder that driver and executors share, and the path in it; raises where it knows none."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"shards need a folder that pyarrow can write to (file, s3, gs, abfs, hdfs with its library), not {uri}") from e
 
 
 def encoder(data: bytes):
@@ -251,15 +261,22 @@ def encoder(data: bytes):
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Writes the shards; a row for each: ``shard``, ``path``, ``n_docs``, ``n_ids``.
 
-    ``shards`` is the number of ranges, by default that of shuffle partitions.
+    ``shards`` is the number of ranges; by default that of shuffle partitions, and more for
+    more than ``SHARD_BYTES`` of texts or ``SHARD_DOCS`` documents each.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "sst")
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # of the vocabulary's size
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files, root = filesystem(folder)  # fails here rather than in a task
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    ranged = base.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__text")
+    if not shards:
+        size = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__text").cast("bigint")), F.lit(0)).alias("bytes")).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.bytes // SHARD_BYTES), -(-size.n // SHARD_DOCS))
+    # An identifier that many rows share has several ranges: by its texts, and equal rows by where they stand.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__hash").asc()]
+    base = base.withColumns({"__hash": F.xxhash64("__text"), "__nth": F.monotonically_increasing_id()})
+    ranged = base.repartitionByRange(shards, *order, "__nth").sortWithinPartitions(*order, "__text").drop("__hash", "__nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> tuple:
@@ -272,8 +289,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
-        path, draft = f"{root}/shard-{shard:06d}.sst", f"{root}/.draft-{shard:06d}-{attempt}"
-        with files.open_output_stream(draft, compression=None) as stream:
+        name = f"shard-{shard:06d}-{attempt}.sst"
+        with files.open_output_stream(f"{root}/{name}", compression=None) as stream:
             out = Writer(stream, tokenizer.get_vocab_size() > 1 << 16)
             for whole in batches:
                 for batch in slices(whole, "__text", 8 << 20):
@@ -287,13 +304,17 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None
                         own = encode([texts[i].as_py()])[0] if cut[i] else ids[ends[i] - counts[i] : ends[i]]
                         out.add(key_of(doc_id), np.append(own, end_id))
             out.close()
-        if files.get_file_info(path).type.name != "NotFound":
-            files.delete_file(path)
-        files.move(draft, path)
-        row = {"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.sst"], "n_docs": [len(out.keys)], "n_ids": [out.ids]}
+        row = {"shard": [shard], "path": [f"{folder}/{name}"], "n_docs": [out.n_keys], "n_ids": [out.ids]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return table(ranged.mapInArrow(run, "shard int, path string, n_docs bigint, n_ids bigint"), "sst-list")
+    listed = table(ranged.mapInArrow(run, "shard int, path string, n_docs bigint, n_ids bigint"), "sst-list")
+    from pyarrow import fs
+
+    whole = {r.path.rpartition("/")[2] for r in listed.select("path").collect()}  # a row for each shard
+    for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith("shard-") and info.base_name not in whole:
+            files.delete_file(info.path)
+    return listed
 
 
 def read(shards: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,6 +67,22 @@ def test_long_words_encode_as_the_library_does(word):
     assert OWN.encode_all([word])[0].tolist() == KNOWN.encode_ordinary(word)
 
 
+def test_a_very_long_word_takes_time_in_proportion():
+    r = random.Random(2)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    began = time.perf_counter()
+    ids = OWN.encode_all([word])[0]
+    assert time.perf_counter() - began < 20 and OWN.decode(ids) == word.encode() and ids.tolist() == KNOWN.encode_ordinary(word)
+
+
+def test_a_shared_id_is_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None if i < 600 else 5, f"text {i % 300}") for i in range(1200)], "doc_id bigint, text string")
+    shards = sstable.write(docs, P.path("byte_bpe_50k.json"), 2, shards=8)
+    assert max(r.n_docs for r in shards.collect()) < 400 and sstable.read(shards).count() == 1200
+    found = sstable.lookup(shards, spark.createDataFrame([(5,)], "doc_id bigint")).collect()
+    assert len(found) == 600
+
+
 def test_query_of_bpe(spark, docs, no_docs, rows):
     found = bpe.encoded(docs, RANKS, P.PATTERN, with_ids=True, keep=["source"]).collect()
     want = sorted((i if i is not None else -1, len(ids := KNOWN.encode_ordinary(t or "")), digest(" ".join(map(str, ids)).encode()), digest((t or "").encode())) for i, t, _, _ in rows)
@@ -79,7 +98,7 @@ def test_shards(spark, docs, no_docs, rows):
     shards = sstable.write(docs, P.path("byte_bpe_50k.json"), 2, shards=5)
     found = sorted(sstable.read(shards, with_ids=True).collect(), key=lambda r: r.start)
     start = 0
-    for row, (doc_id, text, _, _) in zip(found, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
+    for row, (doc_id, text, _, _) in zip(found, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64)))):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
         assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32, row.token_ids) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
         start += len(ids)
