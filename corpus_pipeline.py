@@ -1,27 +1,33 @@
 """Cleaning a corpus: each stage reads what the one before has kept, whole.
 
 ``run`` applies the stages to ``documents``; between two stages the rows go through a
-Parquet table in the shared folder.
+Parquet table in the shared folder, which goes when the next one is written.
+
+Defined results, by what the operators say: rows without letters go with the first stage; a
+null id is an id like others; of repeated rows and near copies one row stays; further
+columns travel along up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logloom.llm import bpe, langid, mixing, pii, simhash
-from logloom.llm.common import read, table
+from logloom.llm.common import drop_table, read, scratch, table
 from logloom.llm.queries import RANKS, pattern
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects: no letters, or like no language it knows."""
+    """Drops the documents that language identification rejects: no letters, or like no language it knows.
+
+    Those that have no language get the one that was found.
+    """
     fitted = langid.fit(docs.where(~langid.held_out()))
     return langid.accepted(docs, fitted)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component."""
+    """Keeps one document of each component, the one with the smallest id."""
     return simhash.first_of_each(docs)
 
 
@@ -54,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(table(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
