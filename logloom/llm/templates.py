@@ -3,12 +3,13 @@
 Each page is read into a tree of elements; each element has a hash of its subtree.
 Spark counts, for each host, in how many of its contents a subtree occurs: pages with
 the same article text are one, so copies of an article have one vote.  Block elements
-whose subtree recurs in ``LEAST`` contents at least, and in ``SHARE`` of the host's or in
-``ENOUGH`` (the template of a section of a large host), are its template and go; inline
+whose subtree recurs in ``SHARE`` of the host's contents, but in ``MANY`` at least or, on a
+smaller host, in all of them, are its template and go; ``ENOUGH`` contents suffice anywhere
+(the template of a section of a large host), and fewer than ``LEAST`` never do.  Inline
 elements go only with a block.  So do elements whose name, role, class or id says that
 they are no part of the article; the article itself and what it stands in are never
 judged so.  Paragraphs, headings, lists and tables inside the article stay, however
-often they recur.  A page without article and main is all text, and there paragraphs go
+often they recur, but for lists and tables of nothing but links.  A page without article and main is all text, and there paragraphs go
 like other blocks.
 
 Template hashes are sent to all executors only if they are few; else each page's own are
@@ -30,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import slices, table
+from logloom.llm.common import scratch, slices, table
 
-SHARE, LEAST, ENOUGH, MOST_SENT = 0.2, 8, 200, 100_000
+SHARE, LEAST, MANY, ENOUGH, MOST_SENT = 0.2, 3, 8, 200, 100_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg select".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr li dd dt".split())
 #: An element of the first kind ends open ones of the second, up to one of the third.
@@ -53,11 +54,13 @@ ENDS = {
 P_SCOPE = frozenset("article aside blockquote body button caption center dd details dialog div dl dt fieldset figure footer form header html li main nav ol section table td th ul".split())
 
 # What isn't the article, by name, role, and the words of a token of class or id.
-NOT_ARTICLE = frozenset("nav aside footer form menu button dialog input label datalist object canvas audio video".split())
+NOT_ARTICLE = frozenset("nav aside footer form menu button dialog input label datalist object canvas audio video annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies gdpr footer masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager popup promo promos promotion related recommended share sharing sidebar sidebars skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
 STAYS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -87,6 +90,7 @@ class Page:
         self.endless: set[str] = set()
         self.root: int | None = None
         self.listed, self.aside = [False], [False]
+        self.unlinked = [False]  # whether it has text outside links
         self.read(source)
         while len(self.stack) > 1:
             self._close()
@@ -104,9 +108,9 @@ class Page:
             if m[1] or m[4]:
                 self._end(name)
                 continue
+            if name in ("svg", "math") and (m[3] or m[6] or "").endswith("/"):
+                continue
             if name in RAW:  # up to its end tag nothing is a tag
-                if name in ("svg", "math") and (m[3] or m[6] or "").endswith("/"):
-                    continue
                 end = self._raw_end(source, name, at)
                 if end < 0 and name in CODE:
                     return
@@ -131,6 +135,7 @@ class Page:
         own = " ".join(raw.split())
         if own:
             self.parts[top].append(own)
+            self.unlinked[top] = True
 
     def _break(self) -> None:
         if self.blocks[-1]:
@@ -160,7 +165,8 @@ class Page:
         # The header of the page goes; that of an article holds its heading.
         outside = not any(self.tags[i] == "article" for i in self.stack)
         foreign = foreign or name == "header" and outside
-        listed = (listed or header and outside) and name not in ("html", "body")
+        # The id of a heading is what links point to.
+        listed = (listed or header and outside) and name not in ("html", "body") and name not in HEADINGS
         if (name in ("article", "main") or role == "main") and not foreign:
             self.roots.append(len(self.tags))
         self.stack.append(len(self.tags))
@@ -171,6 +177,7 @@ class Page:
         self.aside.append(foreign and name != "form")  # a form may hold the page
         self.parts.append([])
         self.hashes.append(0)
+        self.unlinked.append(False)
 
     def _end_open(self, which: frozenset, upto: frozenset) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -200,6 +207,7 @@ class Page:
             self.hashes[i] = digest - (1 << 64) if digest >> 63 else digest
             self.parts[self.parents[i]].append(f"<{digest:x}>")
             self.parts[i] = []
+            self.unlinked[self.parents[i]] |= self.unlinked[i] and self.tags[i] != "a"
 
     def main(self) -> int:
         if self.root is None:
@@ -246,7 +254,11 @@ class Page:
         """Hashes of the subtrees that may be a template."""
         root = self.main()
         inside = self._inside([root]) if root else None
-        return {h for i, h in enumerate(self.hashes) if h and self.tags[i] in BLOCKS and not (inside and inside[i] and (i == root or self.tags[i] in STAYS))}
+        return {h for i, h in enumerate(self.hashes) if h and self.tags[i] in BLOCKS and not (inside and inside[i] and (i == root or self._stays(i)))}
+
+    def _stays(self, i: int) -> bool:
+        """Whether an element inside the article stays, however often it recurs."""
+        return self.tags[i] in STAYS and not (self.tags[i] in LISTS and not self.unlinked[i])
 
     def content(self) -> int:
         """A hash of the text that the page has before templates are known."""
@@ -258,7 +270,7 @@ class Page:
         inside, gone = [root == 0], [False]
         for i in range(1, len(self.tags)):
             inside.append(inside[self.parents[i]] or i == root)
-            kept = root and inside[i] and (i == root or self.tags[i] in STAYS)
+            kept = root and inside[i] and (i == root or self._stays(i))
             if i == root:  # what is around the article never takes it along
                 gone.append(False)
                 continue
@@ -276,7 +288,7 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, enough: int = ENOUGH) -> DataFrame:
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, many: int = MANY, enough: int = ENOUGH) -> DataFrame:
     """``host`` and ``subtree``, the hash of a subtree that recurs in its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +305,11 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, enough
 
     seen = _hosts(pages).select("host", "html").mapInArrow(run, "host string, subtree bigint, content bigint")
     counts = seen.distinct().groupBy("host", "subtree").count()
-    counts = table(counts.where(F.col("count") >= least), "subtrees")
-    contents = counts.where("subtree = 0").select("host", F.col("count").alias("contents"))
-    often = (F.col("count") >= share * F.col("contents")) | (F.col("count") >= enough)
-    return table(counts.where("subtree <> 0").join(contents, "host").where(often).select("host", "subtree"), "templates")
+    with scratch(pages.sparkSession) as keep:
+        counts = table(counts.where(F.col("count") >= least), "subtrees")
+        contents = counts.where("subtree = 0").select("host", F.col("count").alias("contents"))
+        often = (F.col("count") >= F.greatest(share * F.col("contents"), F.least("contents", F.lit(many)))) | (F.col("count") >= enough)
+        return keep(table(counts.where("subtree <> 0").join(contents, "host").where(often).select("host", "subtree"), "templates"))
 
 
 def _looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -318,9 +331,9 @@ def _looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(own, (F.col("host") == F.col("of")) & (F.col("__key") == F.col("key")), "left")
 
 
-def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST, enough: int = ENOUGH, sent: int = MOST_SENT) -> DataFrame:
+def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST, many: int = MANY, enough: int = ENOUGH, sent: int = MOST_SENT) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for each page."""
-    found = templates(pages, share, least, enough)
+    found = templates(pages, share, least, many, enough)
     rows, shared = _hosts(pages), None
     if found.count() <= sent:
         lists: dict[str, set[int]] = {}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -107,6 +108,8 @@ def test_any_source_gives_a_text(source):
     ("<article><select><p>a</p><select><option>no</select><p>b</p></article><iframe></iframe>", "a\nb"),
     ("<article><p>a</p><svg><text>no</text></svg><SCRIPT>İ</p>no</SCRIPT><p>b</p></article>", "a\nb"),
     ("<article><p>a</p><div class='cookie-notice'>no</div><div class='ad'>no</div></article>", "a"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>", "so x=2 holds"),
+    ("<article><h2 id='comments'>Comments on the act</h2><section id='social-science'>text</section></article>", "Comments on the act\ntext"),
 ])
 def test_the_list_never_takes_the_article(source, text):
     assert templates.Page(source).text(set()) == text
@@ -144,3 +147,72 @@ def test_copies_have_one_vote_and_inline_elements_stay(spark):
         assert all(found[400 + i] == f"Page {i}" for i in range(300))  # a tenth of the host, but often enough
     found = {r.page_id: r.text for r in templates.main_text(pages).collect()}
     assert found[400] == "Page 0\nSection line"
+
+
+def plain_subtrees(source: str) -> set[str]:
+    """The subtrees of well-formed markup outside an article, read by Python's own parser, as tag and texts."""
+    from html.parser import HTMLParser
+
+    import xxhash
+
+    found, stack = set(), [["#", [], False]]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append([tag, [], stack[-1][2] or tag == "article"])
+
+        def handle_data(self, data):
+            if data.strip():
+                stack[-1][1].append(" ".join(data.split()))
+
+        def handle_endtag(self, tag):
+            _, parts, inside = stack.pop()
+            if parts:
+                digest = xxhash.xxh64_intdigest(f"{tag}|{' '.join(parts)}")
+                if tag in templates.BLOCKS and not inside:
+                    found.add(digest - 2**64 if digest >> 63 else digest)
+                stack[-1][1].append(f"<{digest:x}>")
+
+    Reader().feed(source)
+    return found
+
+
+def test_templates_are_those_of_a_plain_recount(spark):
+    """Subtrees counted by host in plain Python, for hosts of every size."""
+    r = random.Random(6)
+    pages, plain = [], {}
+    for host in range(14):
+        n = [1, 2, 3, 4, 6, 8, 9, 20, 40, 60, 61, 80, 30, 5][host]
+        menu = [f"<div><ul><li><a href='{i}'>Go {host}.{i}</a></li></ul></div>" for i in range(6)]
+        for i in range(n):
+            blocks = [m for j, m in enumerate(menu) if r.random() < [1, 0.9, 0.5, 0.25, 0.15, 0.05][j]]
+            source = f"<body>{''.join(blocks)}<article><p>Story {host} {i // 2}</p><div>note</div></article><div>{i}</div></body>"
+            pages.append((len(pages), f"http://h{host}.example/{i}", source))
+            plain.setdefault(f"h{host}.example", {}).setdefault(i // 2, set()).update(plain_subtrees(source))
+    want = set()
+    for host, contents in plain.items():
+        n = len(contents)
+        for h in set().union(*contents.values()):
+            count = sum(h in own for own in contents.values())
+            if count >= 3 and (count >= max(0.2 * n, min(n, 8)) or count >= 25):
+                want.add((host, h))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    noted = {(r.host, r.subtree) for r in templates.templates(df, enough=25).collect()}
+    inside = noted - want  # the note inside the articles, on each host with enough contents
+    assert want <= noted and len(want) > 20 and {host for host, _ in inside} == {h for h, c in plain.items() if len(c) >= 3} and len(inside) == len({h for h, _ in inside})
+
+
+def test_hosts_without_article_lose_what_recurs(spark):
+    """No element has a telling name or class; small hosts count too; a list of links inside an article is a template."""
+    rows = []
+    for n, host in ((3, "small"), (12, "middle"), (60, "large")):
+        for i in range(n):
+            rows.append((len(rows), f"https://{host}.example/{i}", f"<div class=x1><ul><li><a href=/>Start</a><li><a href=/b>Shop</a></ul></div><div class=x2>We keep your settings</div><div class=x3><h1>Title {host} {i}</h1><p>Words {i} of it</p></div><div class=x4>© {host}</div>"))
+    for i in range(12):
+        rows.append((len(rows), f"https://inside.example/{i}", f"<article><ul><li><a href=/>Next</a><li><a href=/b>Last</a></ul><p>Same line</p><ul><li>Point</ul><p>Own {i}</p></article>"))
+    found = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    at = 0
+    for n, host in ((3, "small"), (12, "middle"), (60, "large")):
+        assert [found[at + i] for i in range(n)] == [f"Title {host} {i}\nWords {i} of it" for i in range(n)]
+        at += n
+    assert [found[at + i] for i in range(12)] == [f"Same line\nPoint\nOwn {i}" for i in range(12)]
