@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -18,6 +20,7 @@ from logloom.sources import catalog
 from logloom.sources.requests import answered
 
 LIMIT = 20_000
+ZIPPED = b'{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"1"}]}]}]}'
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,22 @@ def queue_envelopes(spark, sf_dir):
     return rows.select("partition", "offset", "o.content_type", F.octet_length("o.payload").cast("bigint").alias("payload_bytes"), (F.col("n_bytes") > F.octet_length("o.payload")).alias("wrapped"))
 
 
+def _any_values(queue):
+    """Values as text, in the body and as a map's literal, and where the time comes from: the record, who observed it, or now."""
+    rows = logs(decode(queue))
+    source = F.when(F.col("timestamp") > F.expr("timestamp_ntz'2025-01-01 00:00:00'"), "now").otherwise(scalars.timestamp_text(F.col("timestamp")))
+    return rows.select("_kafka_offset", "body", scalars.map_literal(F.col("attributes")).alias("literal"), source.alias("time"))
+
+
+def any_values(spark, sf_dir):
+    rows = synthetic.messages_of_all_values(_events(spark, sf_dir))
+    return _any_values(rows.select("topic", "partition", "offset", synthetic.envelope(F.lit("application/json"), F.col("payload").cast("binary")).alias("value")))
+
+
+def any_values_proto(spark, sf_dir):
+    return _any_values(synthetic.as_protobuf(synthetic.messages_of_all_values(_events(spark, sf_dir))))
+
+
 def severity_from_number(spark, sf_dir):
     n = (F.col("event_id") % 27).cast("int")
     text = F.when(F.col("event_id") % 10 == 0, "Custom").otherwise("")
@@ -112,19 +131,22 @@ def _requests(spark, sf_dir):
     """Requests of all kinds, one for each event."""
     i = F.col("event_id")
     kinds = F.array(*map(F.lit, ("application/json", "application/x-protobuf; charset=utf-8", "TEXT/JSON", "text/plain", " application/protobuf ", "")))
-    body = F.when(i % 4 == 1, F.lit("not gzip")).when(i % 4 == 3, F.lit("")).otherwise(F.col("props"))
+    plain = F.when(i % 4 == 1, F.lit("not gzip")).when(i % 4 == 3, F.lit("")).otherwise(F.col("props"))
+    body = F.when(i % 8 == 7, F.lit(gzip.compress(ZIPPED, mtime=0))).otherwise(plain.cast("binary"))
     return _events(spark, sf_dir).select(
         "event_id",
         F.when(i % 11 == 0, "GET").otherwise("POST").alias("method"),
         F.when(i % 22 == 0, "/health").when(i % 13 == 0, "/v2/logs").otherwise("/v1/logs").alias("path"),
         F.element_at(kinds, (i % 6 + 1).cast("int")).alias("content_type"),
         F.when(i % 4 == 1, "GZIP").when(i % 4 == 3, "gzip").otherwise("").alias("content_encoding"),
-        body.cast("binary").alias("body"),
+        body.alias("body"),
     )
 
 
 def http_status(spark, sf_dir):
-    return answered(_requests(spark, sf_dir)).select("event_id", "status", "message", F.col("value").isNotNull().alias("queued"))
+    """Status and message of each request, and the bytes that went on the queue: those within, where it was zipped."""
+    rows = answered(_requests(spark, sf_dir))
+    return rows.select("event_id", "status", "message", F.col("value").isNotNull().alias("queued"), F.octet_length(opened(F.col("value"))["payload"]).cast("bigint").alias("payload_bytes"))
 
 
 def _damaged(spark, sf_dir):
@@ -144,20 +166,34 @@ def logs_without_damaged(spark, sf_dir):
 
 def sink_and_scan(spark, sf_dir):
     """The rows written as a table and read back by name, by the documented statements."""
-    import uuid
-
     folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/logs-{uuid.uuid4().hex}"
     _logs(spark, sf_dir).write.parquet(f"{folder}/batch_id=0")
     catalog.register(spark, folder, "logloom_logs")
     return spark.sql("SELECT count(*) AS n, count(DISTINCT trace_id) AS traces, max(timestamp) AS last_ts FROM logloom_logs WHERE service_name = 'svc-1'")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log table as the stream leaves it, written once for each application.
+
+    Rows of a service lie near one another, so that conditions skip parts of files.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/logs-{uuid.uuid4().hex}"
+        _logs(spark, sf_dir).sortWithinPartitions("service_name", "timestamp").write.parquet(folder)
+        _STORED[key] = folder
+    return catalog.logs_of(spark, _STORED[key])
+
+
 def _analytics(f: Callable[..., DataFrame], spark, sf_dir):
-    return f(_logs(spark, sf_dir))
+    return f(_stored(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (otlp_json_to_logs, otlp_proto_to_logs, queue_envelopes, severity_from_number, time_fallback, attribute_merge, trace_hex, recover_offsets, recover_offset_scalar, resume_filter, record_size_estimate, buffer_stats, buffer_totals, flush_batches, backoff_schedule, http_status, dead_letter_queue, logs_without_damaged, sink_and_scan)
+    own = (otlp_json_to_logs, otlp_proto_to_logs, queue_envelopes, any_values, any_values_proto, severity_from_number, time_fallback, attribute_merge, trace_hex, recover_offsets, recover_offset_scalar, resume_filter, record_size_estimate, buffer_stats, buffer_totals, flush_batches, backoff_schedule, http_status, dead_letter_queue, logs_without_damaged, sink_and_scan)
     asked = {
         "logs_by_service_severity": analytics.by_service_and_severity,
         "error_rate_by_hour": analytics.error_rate,
@@ -189,10 +225,31 @@ _COLUMNS = "_kafka_topic, _kafka_partition, _kafka_offset, timestamp, severity,
 _SIZE = "(strlen(_kafka_topic) + strlen(body) + strlen(severity) + strlen(service_name) + strlen(deployment_environment) + strlen(host_name) + strlen(trace_id) + strlen(span_id) + strlen(event_type) + strlen(printf('%.6f', value)) + strlen('record') + strlen(user_id::VARCHAR) + strlen('event.typeevent.valueshareduser.id') + 112)::BIGINT"
 
 
+#: Values as text: the kinds follow from the id by seven; quotes and backslashes are doubled in a map's literal.
+_VALUES = r"""
+SELECT event_id AS _kafka_offset, v AS body, 'MAP([' || chr(39) || 'q' || chr(39) || chr(39) || 'k\\' || chr(39) || '], [' || chr(39) || replace(replace(v, '\', '\\'), chr(39), chr(39) || chr(39)) || chr(39) || '])' AS literal,
+  CASE WHEN event_id % 5 = 4 THEN 'now' ELSE strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') END AS time
+FROM (SELECT event_id, ts, CASE event_id % 7 WHEN 0 THEN 'it' || chr(39) || 's \ ' || chr(39) || event_id WHEN 1 THEN (event_id % 2 = 0)::VARCHAR WHEN 2 THEN (-event_id)::VARCHAR WHEN 3 THEN printf('%.6f', value)
+  WHEN 4 THEN lower(hex(event_id::VARCHAR::BLOB)) WHEN 5 THEN 'a,b,' || event_id ELSE 'z=' || event_id || ',a=x' END AS v FROM events WHERE event_id % 10 <> 0)
+"""
+#: An event as its part of a JSON request; ids are base64 of sixteen and of eight bytes.
+_TEXT_OF_EVENT = r"""
+'{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-' || (user_id % 10) || '"}},{"key":"host.name","value":{"stringValue":"host-' || (user_id % 50)
+  || '"}},{"key":"deployment.environment","value":{"stringValue":"' || CASE WHEN user_id % 2 = 0 THEN 'prod' ELSE 'staging' END || '"}},{"key":"shared","value":{"stringValue":"resource"}}]},'
+  || '"scopeLogs":[{"logRecords":[{"timeUnixNano":"' || (epoch_us(ts)::HUGEINT * 1000) || '"' || CASE event_type WHEN 'error' THEN ',"severityNumber":17' WHEN 'view' THEN ',"severityNumber":5' WHEN 'purchase' THEN ',"severityText":"INFO"' ELSE '' END
+  || ',"body":{"stringValue":"' || replace(props, '"', '\"') || '"},"attributes":[{"key":"event.type","value":{"stringValue":"' || event_type || '"}},{"key":"event.value","value":{"doubleValue":' || value
+  || '}},{"key":"user.id","value":{"intValue":"' || user_id || '"}},{"key":"shared","value":{"stringValue":"record"}}],"traceId":"' || repeat('x', 24) || '","spanId":"' || repeat('x', 12) || '"}]}]}'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     sizes = f"{_LOGS}, sizes AS (SELECT _kafka_partition AS partition, _kafka_offset AS \"offset\", count(*) AS records, sum({_SIZE})::BIGINT AS bytes FROM logs GROUP BY ALL)"
     messages = "(SELECT DISTINCT (user_id % 3)::INTEGER AS partition, event_id // 5 AS \"offset\" FROM events)"
     return {
+        "any_values": _VALUES,
+        "any_values_proto": _VALUES,
+        "queue_envelopes": f"""SELECT (user_id % 3)::INTEGER AS partition, event_id // 5 AS "offset", 'application/json' AS content_type,
+            ({len('{"resourceLogs":[]}')} + sum(strlen({_TEXT_OF_EVENT})) + count(*) - 1)::BIGINT AS payload_bytes, true AS wrapped FROM events GROUP BY 1, 2""",
         "otlp_json_to_logs": f"{_LOGS} SELECT {_COLUMNS} FROM logs",
         "otlp_proto_to_logs": f"{_LOGS} SELECT {_COLUMNS} FROM logs",
         "severity_from_number": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'Custom' WHEN event_id % 27 BETWEEN 1 AND 4 THEN 'TRACE' WHEN event_id % 27 BETWEEN 5 AND 8 THEN 'DEBUG'
@@ -216,9 +273,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT partition, batch, count(*) AS messages, sum(bytes)::BIGINT AS bytes, max("offset") AS last_offset FROM fold GROUP BY 1, 2""",
         "backoff_schedule": "SELECT n AS attempt, least(100 * pow(2, n), 5000)::BIGINT AS wait_ms FROM range(1, 9) t(n)",
         "http_status": """SELECT event_id, status, CASE status WHEN 400 THEN 'Failed to decompress gzip payload' WHEN 415 THEN 'Unsupported media type' ELSE '' END AS message,
-            status = 200 AND method = 'POST' AND path = '/v1/logs' AS queued FROM (
-            SELECT event_id, method, path, CASE WHEN method = 'GET' AND path = '/health' THEN 200 WHEN method <> 'POST' OR path <> '/v1/logs' THEN 404 WHEN event_id % 6 IN (3, 5) THEN 415 WHEN event_id % 4 = 1 THEN 400 ELSE 200 END AS status
-            FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN event_id % 22 = 0 THEN '/health' WHEN event_id % 13 = 0 THEN '/v2/logs' ELSE '/v1/logs' END AS path FROM events))""",
+            status = 200 AND method = 'POST' AND path = '/v1/logs' AS queued,
+            CASE WHEN status = 200 AND method = 'POST' AND path = '/v1/logs' THEN CASE WHEN event_id % 8 = 7 THEN """ + str(len(ZIPPED)) + """ WHEN event_id % 4 = 3 THEN 0 ELSE strlen(props) END END::BIGINT AS payload_bytes FROM (
+            SELECT event_id, props, method, path, CASE WHEN method = 'GET' AND path = '/health' THEN 200 WHEN method <> 'POST' OR path <> '/v1/logs' THEN 404 WHEN event_id % 6 IN (3, 5) THEN 415 WHEN event_id % 4 = 1 THEN 400 ELSE 200 END AS status
+            FROM (SELECT event_id, props, CASE WHEN event_id % 11 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN event_id % 22 = 0 THEN '/health' WHEN event_id % 13 = 0 THEN '/v2/logs' ELSE '/v1/logs' END AS path FROM events))""",
         "dead_letter_queue": f"SELECT '{TOPIC}' AS topic, partition, \"offset\" FROM {messages} WHERE \"offset\" % 10 IN (3, 7)",
         "logs_without_damaged": f"{_LOGS} SELECT _kafka_partition, count(*) AS n FROM logs WHERE _kafka_offset % 10 NOT IN (3, 7) GROUP BY 1",
         "sink_and_scan": f"{_LOGS} SELECT count(*) AS n, count(DISTINCT trace_id) AS traces, max(timestamp) AS last_ts FROM logs WHERE service_name = 'svc-1'",

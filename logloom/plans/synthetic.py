@@ -67,12 +67,42 @@ def queue(events: DataFrame) -> DataFrame:
     return messages(events).select("topic", "partition", "offset", envelope(F.lit("application/json"), F.col("payload").cast("binary")).alias("value"))
 
 
-def protobuf_queue(events: DataFrame) -> DataFrame:
-    """The same messages with protobuf payloads."""
+def as_protobuf(rows: DataFrame) -> DataFrame:
+    """Messages with JSON payloads as a queue with protobuf payloads."""
 
     @F.arrow_udf("binary")
     def encode(payloads: pa.Array) -> pa.Array:
         return pa.array([otlp.parse("application/json", p.encode()).SerializeToString() for p in payloads.to_pylist()], pa.binary())
 
-    rows = messages(events)
     return rows.select("topic", "partition", "offset", envelope(F.lit("application/x-protobuf"), encode("payload")).alias("value"))
+
+
+def protobuf_queue(events: DataFrame) -> DataFrame:
+    """The same messages with protobuf payloads."""
+    return as_protobuf(messages(events))
+
+
+def messages_of_all_values(events: DataFrame) -> DataFrame:
+    """A message for each event: values of all kinds, quotes and backslashes, times that are missing, requests without records.
+
+    The body's kind follows from the id by seven, its time by five, and each tenth request
+    is empty in one of four ways.
+    """
+    i, as_text = F.col("event_id"), F.col("event_id").cast("string")
+    text = lambda s: F.struct(s.alias("stringValue"))
+    values = {
+        "stringValue": F.concat(F.lit("it's \\ '"), as_text),
+        "boolValue": i % 2 == 0,
+        "intValue": (-i).cast("string"),
+        "doubleValue": F.col("value"),
+        "bytesValue": F.base64(as_text.cast("binary")),
+        "arrayValue": F.struct(F.array(text(F.lit("a,b")), text(as_text)).alias("values")),
+        "kvlistValue": F.struct(F.array(F.struct(F.lit("z").alias("key"), text(as_text).alias("value")), F.struct(F.lit("a").alias("key"), text(F.lit("x")).alias("value"))).alias("values")),
+    }
+    value = F.struct(*[F.when(i % 7 == n, v).alias(name) for n, (name, v) in enumerate(values.items())])
+    nanos = nanos_of(F.col("ts")).cast("string")
+    attributes = F.array(F.struct(F.lit("q'k\\").alias("key"), value.alias("value")))
+    record = F.struct(F.when(i % 5 < 3, nanos).alias("timeUnixNano"), F.when(i % 5 == 3, nanos).alias("observedTimeUnixNano"), value.alias("body"), attributes.alias("attributes"))
+    full = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    empty = F.element_at(F.array(*map(F.lit, ("{}", '{"resourceLogs":[]}', '{"resourceLogs":[{}]}', '{"resourceLogs":[{"scopeLogs":[{},{"logRecords":[]}]}]}'))), (i / 10 % 4 + 1).cast("int"))
+    return events.select(F.lit(TOPIC).alias("topic"), (i % PARTITIONS).cast("int").alias("partition"), i.alias("offset"), F.when(i % 10 == 0, empty).otherwise(full).alias("payload"))

@@ -5,14 +5,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.scalars import record_size
 from logloom.operators import flush, offsets
+from logloom.operators.decode import decode
+from logloom.operators.flatten import logs
 from logloom.plans import queries as plans
 from logloom.plans import synthetic
 from logloom.schema import QUEUE, REQUEST
 from logloom.sources import catalog, queue
 from logloom.sources.receiver import Landing, serve
 from logloom.sources.requests import answered
-from logloom.streaming import ingest
+from logloom.streaming import control, ingest
 
 BODY = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1", "body": {"stringValue": "hi"}}]}]}]}).encode()
 CASES = [
@@ -82,31 +85,76 @@ def test_stream_holds_each_message_once_through_restarts(spark, events, tmp_path
     queue.to_files(messages.where("offset % 2 = 1"), source)
     ingest.start(queue.from_files(spark, source), table, checkpoint, letters).awaitTermination()
     ingest.start(queue.from_files(spark, source), table, checkpoint, letters).awaitTermination()
-    logs = catalog.logs_of(spark, table)
-    assert logs.count() == 200 and logs.select("trace_id").distinct().count() == 200
+    stored = catalog.logs_of(spark, table)
+    assert stored.count() == 200 and stored.select("trace_id").distinct().count() == 200
     assert spark.read.parquet(letters).count() == 1
     # Without the checkpoint the table itself says where to go on.
-    done = offsets.recovered(logs, "otel-logs")
+    done = offsets.recovered(stored, "otel-logs")
     assert offsets.resumed(messages, done).count() == 0
     assert json.loads(offsets.starting_offsets(done, "otel-logs"))["otel-logs"]["0"] == done.where("partition = 0").first().max_offset + 1
     catalog.compact(spark, table, f"{tmp_path}/compact")
     assert spark.read.parquet(f"{tmp_path}/compact").count() == 200
-    plan = logs.where("service_name = 'svc-1'")._jdf.queryExecution().executedPlan().toString()
+    plan = stored.where("service_name = 'svc-1'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(service_name,svc-1)" in plan
 
 
+def asked(server, method, path, body=None):
+    connection = http.client.HTTPConnection(*server.server_address, timeout=120)
+    connection.request(method, path, body)
+    answer = connection.getresponse()
+    text = answer.read().decode()
+    connection.close()
+    return answer.status, text
+
+
 def test_running_stream_flushes_and_reports(spark, events, tmp_path):
-    source = f"{tmp_path}/queue"
+    source, stats = f"{tmp_path}/queue", ingest.Stats()
     queue.to_files(synthetic.queue(events).limit(20), source)
-    query = ingest.start(queue.from_files(spark, source), f"{tmp_path}/logs", f"{tmp_path}/c", seconds=1)
+    query = ingest.start(queue.from_files(spark, source), f"{tmp_path}/logs", f"{tmp_path}/c", seconds=1, stats=stats)
+    server = control.serve(query, stats, port=0)
     try:
-        ingest.flush(query)
-        assert ingest.health(query)["ready"] and catalog.logs_of(spark, f"{tmp_path}/logs").count() > 0
+        assert asked(server, "POST", "/flush") == (200, control.FLUSHED.decode())
+        rows = catalog.logs_of(spark, f"{tmp_path}/logs")
+        assert ingest.health(query)["ready"] and rows.count() > 0
+        assert asked(server, "GET", "/ready")[0] == asked(server, "GET", "/health")[0] == 200
+        status, text = asked(server, "GET", "/stats")
+        sizes = rows.agg(F.count("*").alias("n"), F.sum(record_size()).alias("b")).first()
+        assert status == 200 and json.loads(text) == {"total_buffer_records": sizes.n, "total_buffer_size_bytes": sizes.b, "is_running": True}
+        assert asked(server, "GET", "/flush")[0] == asked(server, "POST", "/stats")[0] == 404
+        query.stop()
+        assert asked(server, "GET", "/ready")[0] == 503 and asked(server, "POST", "/flush")[0] == 500
+        assert not json.loads(asked(server, "GET", "/stats")[1])["is_running"]
     finally:
         query.stop()
+        server.shutdown()
+        server.server_close()
     assert not query.isActive
 
 
+def test_receiver_is_ready_while_it_can_write(tmp_path):
+    server = serve(Landing(str(tmp_path / "queue")), port=0, most_bytes=100)
+    try:
+        assert asked(server, "GET", "/ready") == (200, "OK")
+        assert asked(server, "POST", "/v1/logs", b"x" * 101)[0] == 413
+        (tmp_path / "queue").rmdir()
+        assert asked(server, "GET", "/ready") == (503, "Queue producer not ready") and asked(server, "GET", "/health")[0] == 200
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_messages_in_the_table_are_not_written_again(spark, events):
+    """What the writer for a catalog leaves out, against a table of another format."""
+    queued = synthetic.queue(events)
+    rows = logs(decode(queued))
+    there = rows.where("_kafka_offset % 3 = 0 or _kafka_partition = 1")
+    left = ingest.unseen(rows, queued, there)
+    assert left.columns == rows.columns
+    assert left.count() == rows.where("_kafka_offset % 3 <> 0 and _kafka_partition <> 1").count() > 0
+    assert ingest.unseen(rows, queued, rows).count() == 0
+    assert ingest.unseen(rows, queued, rows.limit(0)).count() == rows.count()
+
+
 def test_retries():
     calls = []
 
@@ -127,4 +175,4 @@ def test_batches_start_again_at_each_flush(spark):
 
 def test_every_query_has_sql_or_needs_none():
     without = set(plans.queries()) - set(plans.oracle_sql())
-    assert without == {"queue_envelopes"}
+    assert without == set()
