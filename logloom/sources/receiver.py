@@ -34,6 +34,10 @@ class Landing:
                 self.next[partition] = max(self.next[partition], offset + 1)
         self.turn, self.lock = 0, threading.Lock()
 
+    def ready(self) -> bool:
+        """Whether the folder takes files now."""
+        return os.path.isdir(self.folder) and os.access(self.folder, os.W_OK | os.X_OK)
+
     def append(self, value: bytes) -> None:
         with self.lock:
             partition = self.turn = (self.turn + 1) % len(self.next)
@@ -45,8 +49,11 @@ class Landing:
         os.rename(draft, os.path.join(self.folder, f"{name}.parquet"))
 
 
-def serve(landing: Landing | None, host: str = "127.0.0.1", port: int = 4318, max_in_flight: int = 1000) -> ThreadingHTTPServer:
-    """Starts the receiver in a thread of its own; without ``landing`` requests are accepted and only counted."""
+def serve(landing: Landing | None, host: str = "127.0.0.1", port: int = 4318, max_in_flight: int = 1000, most_bytes: int = 64 << 20) -> ThreadingHTTPServer:
+    """Starts the receiver in a thread of its own; without ``landing`` requests are accepted and only counted.
+
+    A body of more than ``most_bytes`` is answered with 413 and not read.
+    """
     in_flight = threading.BoundedSemaphore(max_in_flight)
 
     class Handler(BaseHTTPRequestHandler):
@@ -61,10 +68,16 @@ def serve(landing: Landing | None, host: str = "127.0.0.1", port: int = 4318, ma
             self.wfile.write(body)
 
         def do_GET(self):
+            if self.path == "/ready" and landing and not landing.ready():
+                return self._answer(503, b"Queue producer not ready")
             self._answer(200, b"OK") if self.path in ("/health", "/ready") else self._answer(404)
 
         def do_POST(self):
-            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            length = self.headers.get("Content-Length") or "0"
+            if not length.isascii() or not length.isdigit() or int(length) > most_bytes:
+                self.close_connection = True
+                return self._answer(413 if length.isdigit() else 400)
+            body = self.rfile.read(int(length))
             if self.path != PATH:
                 return self._answer(404)
             kind = (self.headers.get("Content-Type") or "").partition(";")[0].strip(" ").lower()

@@ -13,9 +13,9 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.scalars import delay, record_size
 from logloom.operators.decode import decode
@@ -33,14 +33,25 @@ def retried(write: Callable[[], None], attempts: int = 5, base_ms: int = 100, mo
             time.sleep(delay(attempt, base_ms, most_ms))
 
 
-def writer(table: str, letters: str | None = None, hex_ids: bool = False, attempts: int = 5) -> Callable[[DataFrame, int], None]:
-    """What ``foreachBatch`` calls: writes a batch's rows and dead letters into folders of their own."""
+def writer(table: str, letters: str | None = None, hex_ids: bool = False, attempts: int = 5, stats: Stats | None = None) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` calls: writes a batch's rows and dead letters into folders of their own.
+
+    ``stats`` learns how many rows and estimated bytes went by, as they pass.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         decoded = decode(batch, hex_ids).persist()
         try:
             rows = logs(decoded).sortWithinPartitions("_kafka_partition", "_kafka_offset")
-            retried(lambda: rows.write.mode("overwrite").parquet(f"{table}/batch_id={number}"), attempts)
+
+            def write() -> None:
+                seen = Observation()
+                counts = F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(record_size()), F.lit(0)).alias("size")
+                rows.observe(seen, *counts).write.mode("overwrite").parquet(f"{table}/batch_id={number}")
+                if stats:
+                    stats.add(number, **seen.get)
+
+            retried(write, attempts)
             if letters:
                 retried(lambda: dead_letters(decoded).write.mode("overwrite").parquet(f"{letters}/batch_id={number}"), attempts)
         finally:
@@ -49,22 +60,34 @@ def writer(table: str, letters: str | None = None, hex_ids: bool = False, attemp
     return run
 
 
+def unseen(rows: DataFrame, batch: DataFrame, there: DataFrame) -> DataFrame:
+    """Those of ``rows``, made from ``batch``, whose messages are not in the table ``there``.
+
+    A batch has a range of offsets for each partition: one row each, gathered here so that
+    they reach the table's files as values to skip by.
+    """
+    ranges = batch.groupBy("topic", "partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high")).collect()
+    within = F.lit(False)
+    for r in ranges:
+        within = within | ((F.col("_kafka_topic") == r.topic) & (F.col("_kafka_partition") == r.partition) & F.col("_kafka_offset").between(r.low, r.high))
+    keys = ["_kafka_topic", "_kafka_partition", "_kafka_offset"]
+    return rows.join(there.where(within).select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
+
+
 def iceberg_writer(table: str, hex_ids: bool = False, attempts: int = 5) -> Callable[[DataFrame, int], None]:
     """The same for a catalog table: rows of the batch's messages that are there already are left out."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = logs(decode(batch, hex_ids))
-        keys = ["_kafka_topic", "_kafka_partition", "_kafka_offset"]
-        there = spark.table(table).select(*keys).join(F.broadcast(batch.groupBy("topic", "partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))), (F.col("_kafka_topic") == F.col("topic")) & (F.col("_kafka_partition") == F.col("partition")) & F.col("_kafka_offset").between(F.col("low"), F.col("high"))).select(*keys).distinct()
-        retried(lambda: rows.join(there, keys, "left_anti").select(*rows.columns).writeTo(table).append(), attempts)
+        retried(lambda: unseen(rows, batch, spark.table(table)).writeTo(table).append(), attempts)
 
     return run
 
 
-def start(queue: DataFrame, table: str, checkpoint: str, letters: str | None = None, seconds: int | None = None, hex_ids: bool = False) -> StreamingQuery:
+def start(queue: DataFrame, table: str, checkpoint: str, letters: str | None = None, seconds: int | None = None, hex_ids: bool = False, stats: Stats | None = None) -> StreamingQuery:
     """Starts the stream: every ``seconds``, or through all there is now and then stops."""
-    stream = queue.writeStream.foreachBatch(writer(table, letters, hex_ids)).option("checkpointLocation", checkpoint).queryName("logs")
+    stream = queue.writeStream.foreachBatch(writer(table, letters, hex_ids, stats=stats)).option("checkpointLocation", checkpoint).queryName("logs")
     stream = stream.trigger(processingTime=f"{seconds} seconds") if seconds else stream.trigger(availableNow=True)
     return stream.start()
 
@@ -86,33 +109,18 @@ def end_offsets(query: StreamingQuery) -> list:
     return [s["endOffset"] for s in json.loads(progress.json)["sources"]] if progress else []
 
 
-def observed(rows: DataFrame) -> DataFrame:
-    """Log rows that report their number and estimated bytes as they pass."""
-    return rows.observe("buffer", F.count(F.lit(1)).alias("total_buffer_records"), F.coalesce(F.sum(record_size()), F.lit(0)).alias("total_buffer_size_bytes"))
-
-
-class Stats(StreamingQueryListener):
-    """Adds up what ``observed`` reports of each batch."""
+class Stats:
+    """Rows and estimated bytes of the batches written so far; a batch that is written again counts once."""
 
     def __init__(self):
-        self.total_buffer_records = self.total_buffer_size_bytes = self.batches = 0
-        self.is_running = False
-
-    def onQueryStarted(self, event):
-        self.is_running = True
-
-    def onQueryProgress(self, event):
-        row = event.progress.observedMetrics.get("buffer")
-        self.batches += 1
-        if row:
-            self.total_buffer_records += row.total_buffer_records
-            self.total_buffer_size_bytes += row.total_buffer_size_bytes
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        self.is_running = False
+        self.total_buffer_records = self.total_buffer_size_bytes = 0
+        self.last, self.is_running = -1, False
+
+    def add(self, number: int, records: int, size: int) -> None:
+        if number > self.last:
+            self.last = number
+            self.total_buffer_records += records
+            self.total_buffer_size_bytes += size
 
     def as_json(self) -> str:
         return json.dumps({"total_buffer_size_bytes": self.total_buffer_size_bytes, "total_buffer_records": self.total_buffer_records, "is_running": self.is_running})
