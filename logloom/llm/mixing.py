@@ -160,18 +160,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int
     ``taken`` counts the words that the mix takes of the document, repeats included;
     ``shard`` is that of its first block, null without words.
     """
-    sized = table(sizes(docs, seed, *keep), "sizes")
-    further = [c for c in sized.columns if c not in ("doc_id", "source", "size", "place", "slot")]
-    by_slot = table(sized.groupBy("source", "slot").agg(F.sum("size").alias("words")), "slots")
+    # Rows that travel along are not written first: their words are counted twice instead.
+    narrow = sizes(docs, seed) if keep else table(sizes(docs, seed), "sizes")
+    sized = sizes(docs, seed, *keep) if keep else narrow
+    further = [c for c in sized.columns if c not in narrow.columns]
+    by_slot = table(narrow.groupBy("source", "slot").agg(F.sum("size").alias("words")), "slots")
     plan = seats(targets(by_slot.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), block_words, most)
     # Where each slot of each source's line begins.
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     begins = by_slot.select("source", "slot", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("begins"))
     begins = begins.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    begins = begins.withColumnsRenamed({"source": "of", "slot": "at"})
-    inside = Window.partitionBy("source", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    lined = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = lined.join(begins, F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("at")))
+    # One key for the window and the join, so that rows are shuffled once.
+    group = F.concat(F.col("slot"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    begins = begins.withColumn("group", group).drop("source", "slot")
+    inside = Window.partitionBy("group").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    lined = sized.withColumn("group", group).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = lined.join(begins, "group")
     b, start = F.col("block"), F.col("begins") + F.col("within")
     rows = rows.withColumns({"start": start, "end": start + F.col("size")})
     rows = rows.withColumns({"first": _div(F.col("start"), b), "last": _div(F.col("end") - 1, b)})
