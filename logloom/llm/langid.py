@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import crc_of_id, named, scratch, slices, table
+from logloom.llm.common import crc_of_id, kept, named, scratch, slices, table
 
-ORDER, SAMPLE, DISCOUNT, MOST_WORDS = 4, 1000, 0.75, 200_000
+ORDER, SAMPLE, DISCOUNT, MOST_WORDS = 4, 1000, 0.75, 400_000
 #: A text is rejected beyond this quantile of what its language's documents of like length
 #: show (at most ``SPREAD`` times as far above the median as nine tenths lie, for a few odd
 #: documents among few), and a margin.  For each class of length: letters below which it
@@ -127,59 +128,77 @@ class Models:
             np.add.at(kinds, of, weight > 0)
             total = np.maximum(total, 1e-9)
             self.grams.append(names)
-            self.alpha.append((np.maximum(weight - discount, 0) / total[of]).astype(np.float32))
+            none, all_of = np.zeros((1, len(self.langs))), np.ones((1, len(self.langs)))
+            self.alpha.append(np.concatenate([np.maximum(weight - discount, 0) / total[of], none]).astype(np.float32))
             self.held.append(held)
-            self.gamma.append(np.where(kinds > 0, discount * kinds / total, 1.0).astype(np.float32))
+            self.gamma.append(np.concatenate([np.where(kinds > 0, discount * kinds / total, 1.0), all_of]).astype(np.float32))
 
     def bits(self, words: list[str]) -> np.ndarray:
         """For each word the bits that each language's model needs, and in the last column its letters and end."""
         seen, before = grams(words, self.order), contexts(words, self.order)
         p = np.full((len(seen[0]), len(self.langs)), self.uniform, np.float32)
         for k in range(self.order):
-            at, hit = self._find(self.held[k], before[k])
-            p[hit] *= self.gamma[k][at]
-            at, hit = self._find(self.grams[k], seen[k + 1])
-            p[hit] += self.alpha[k][at]
+            # The last row stands for what is not there.
+            p *= self.gamma[k].take(self._find(self.held[k], before[k]), axis=0)
+            p += self.alpha[k].take(self._find(self.grams[k], seen[k + 1]), axis=0)
         sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        cost = np.add.reduceat(-np.log2(np.maximum(p, 1e-12)), np.cumsum(sizes) - sizes, axis=0)
+        np.log2(np.maximum(p, 1e-12, out=p), out=p)
+        cost = -np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0)
         return np.column_stack([cost, sizes]).astype(np.float32)
 
     @staticmethod
-    def _find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
-        hit = np.flatnonzero(names[at] == wanted) if len(names) else np.empty(0, int)
-        return at[hit], hit
+    def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Where each of ``wanted`` stands in the sorted ``names``; their number if it does not."""
+        if not len(names):
+            return np.zeros(len(wanted), np.int64)
+        at = np.searchsorted(names, wanted)
+        at[at == len(names)] = 0
+        at[names[at] != wanted] = len(names)
+        return at
 
 
 class Scorer:
-    """Costs of texts; each distinct word is scored once until there are ``MOST_WORDS``."""
+    """Costs of texts; each distinct word, and each one in small letters, is scored once until there are ``MOST_WORDS``."""
 
     def __init__(self, models: Models):
         self.models = models
         self.index: dict[str, int] = {}
-        self.costs = np.empty((0, len(models.langs) + 1), np.float32)
+        self.costs = np.zeros((0, len(models.langs) + 1), np.float32)
+        self.runs: dict[str, int] = {}
+        self.of_runs = self.costs
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: bits by language, then letters."""
-        parts = [t.split() if t else [] for t in texts]
         if len(self.index) > MOST_WORDS:
             self.__init__(self.models)
-        new = list(set().union(*parts) - self.index.keys())
+        # Only distinct runs of letters become Python strings.
+        spaced = pc.replace_substring_regex(texts.cast(pa.large_string()).fill_null(""), pattern=r"\PL+", replacement=" ")
+        words = pc.utf8_split_whitespace(spaced)
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.index]
         if new:
-            runs = [letters(w) for w in new]
-            flat = [r for own in runs for r in own]
-            costs = np.zeros((len(new), self.costs.shape[1]), np.float32)
-            for first in range(0, len(flat), step := 50_000):
-                part = self.models.bits(flat[first : first + step])
-                own = np.repeat(np.arange(len(new)), [len(r) for r in runs])[first : first + step]
-                np.add.at(costs, own, part)
+            self.costs = np.concatenate([self.costs, self._added([letters(w) for w in new])])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.costs = np.concatenate([self.costs, costs])
-        out = np.zeros((len(texts), self.costs.shape[1]))
-        for i, words in enumerate(parts):
-            for first in range(0, len(words), 1 << 16):
-                at = np.fromiter(map(self.index.__getitem__, words[first : first + (1 << 16)]), np.int64)
-                out[i] += self.costs[at].sum(0, dtype=float)
+        row = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        at, ends = flat.indices.to_numpy(), words.value_lengths().to_numpy().cumsum()
+        out, begin = np.zeros((len(texts), self.costs.shape[1])), 0
+        for i, end in enumerate(ends.tolist()):
+            for first in range(begin, end, 1 << 16):
+                out[i] += self.costs.take(row[at[first : min(first + (1 << 16), end)]], axis=0).sum(0, dtype=float)
+            begin = end
+        return out
+
+    def _added(self, words: list[list[str]]) -> np.ndarray:
+        """The costs of words, each given by its runs of letters."""
+        flat = [r for own in words for r in own]
+        if new := list(set(flat) - self.runs.keys()):
+            parts = [self.models.bits(new[first : first + 20_000]) for first in range(0, len(new), 20_000)]
+            self.of_runs = np.concatenate([self.of_runs, *parts])
+            self.runs.update(zip(new, range(len(self.runs), len(self.runs) + len(new))))
+        out = np.zeros((len(words), self.costs.shape[1]), np.float32)
+        of = np.repeat(np.arange(len(words)), [len(own) for own in words])
+        np.add.at(out, of, self.of_runs[np.fromiter(map(self.runs.__getitem__, flat), np.int64, len(flat))])
         return out
 
 
@@ -191,10 +210,10 @@ def costs(docs: DataFrame, models: Models, keep: list[Column]) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
+        score = kept(shared.value, lambda: Scorer(shared.value))
         for whole in batches:
             for batch in slices(whole, "__text"):
-                found = score(batch.column("__text").to_pylist())
+                found = score(batch.column("__text"))
                 bits = pa.array([row.tolist() for row in found[:, :-1]], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [bits, pa.array(found[:, -1])], names=[*names, "bits", "letters"])
 

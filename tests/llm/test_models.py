@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import langid, quality
@@ -32,6 +33,19 @@ def test_language_models_are_interpolated_kneser_ney(spark):
         assert models.bits([word])[0][column] == pytest.approx(want, rel=1e-4)
 
 
+def test_costs_are_the_sums_of_the_words(spark, rows):
+    """Whatever was scored before, and however words repeat, a text costs what its runs of letters cost."""
+    texts = [text for _, text, *_ in rows if text is None or len(text) < 2000] + ["don't", "The THE the", "x1y²z", "\u0345a İx"]
+    sample = spark.createDataFrame([(t, "xx") for t in texts[:60]] + [("zz zy", "yy")], "text string, lang string")
+    models = langid.Models(langid.count_grams(sample).toPandas())
+    score = langid.Scorer(models)
+    found = np.concatenate([score(pa.array(texts[first : first + 50], pa.string())) for first in range(0, len(texts), 50)])
+    for text, own in zip(texts, found):
+        words = [r for w in (text or "").split() for r in langid.letters(w)]
+        want = models.bits(words).sum(0, dtype=float) if words else np.zeros(3)
+        assert own == pytest.approx(want, rel=1e-5)
+
+
 def test_query_of_languages(docs, no_docs, rows):
     fitted = langid.fit(docs.where(~langid.held_out()), sample=60)
     found = langid.predict(docs, fitted).collect()
