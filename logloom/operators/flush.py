@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from logloom.functions.scalars import record_size
 
 MIB = 1 << 20
+#: Offsets of a partition that are numbered in one task.
+STRETCH = 1 << 20
 
 
 def buffer_stats(logs: DataFrame) -> DataFrame:
@@ -28,28 +30,79 @@ def message_sizes(logs: DataFrame) -> DataFrame:
     return logs.groupBy(F.col("_kafka_partition").alias("partition"), F.col("_kafka_offset").alias("offset")).agg(F.count("*").alias("records"), F.sum(record_size()).alias("bytes"))
 
 
-def flush_batches(messages: DataFrame, limit: int) -> DataFrame:
+def _in_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A stretch in the order of its offsets, and the bytes up to each of its messages."""
+    rows = rows.sort_by([(c, "ascending") for c in ("offset", "bytes", "records")])
+    return rows, np.cumsum(rows["bytes"].to_numpy())
+
+
+def _next_flush(upto: np.ndarray, start: int, held: int, limit: int) -> int:
+    """Which message fills a batch that has ``held`` bytes before message ``start``; their number if none does."""
+    before = int(upto[start - 1]) if start else 0
+    return max(start, int(np.searchsorted(upto, before + limit - held)))
+
+
+def _outcomes(rows: pa.Table, limit: int) -> pa.Table:
+    """For each message of a stretch that may be its first to flush: the bytes up to it, the flushes from it on, and the bytes then left."""
+    rows, upto = _in_order(rows)
+    n = len(upto)
+    ends = np.maximum(np.arange(n), np.searchsorted(upto, np.concatenate([[0], upto[:-1]]) + limit)).tolist()
+    flushes, left = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        if ends[i] == n:
+            left[i] = int(upto[-1] - upto[i - 1]) if i else int(upto[-1])
+        else:
+            flushes[i], left[i] = flushes[ends[i] + 1] + 1, left[ends[i] + 1]
+    first = range(min(ends[0] + 1, n))
+    own = rows.select(["partition", "stretch"]).slice(0, len(first))
+    columns = [first, upto[: len(first)], [flushes[j + 1] + 1 for j in first], [left[j + 1] for j in first], [int(upto[-1])] * len(first)]
+    return pa.table([*own.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*own.column_names, "place", "upto", "flushes", "left", "total"])
+
+
+def _begun(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """From the outcomes in order the number of the batch and the bytes that each stretch begins with."""
+    now, batch, held, rest = (None, None), 0, 0, 0
+    for rows in batches:
+        out = []
+        for partition, stretch, upto, flushes, left, total in zip(*[rows.column(c).to_pylist() for c in ("partition", "stretch", "upto", "flushes", "left", "total")]):
+            if (partition, stretch) != now:
+                # ``rest`` is what the stretch before adds if none of its messages has flushed.
+                batch, held = (batch, held + rest) if partition == now[0] else (0, 0)
+                now, rest, flushed = (partition, stretch), total, False
+                out.append((partition, stretch, batch, held))
+            if not flushed and held + upto >= limit:
+                batch, held, rest, flushed = batch + flushes, left, 0, True
+        yield pa.RecordBatch.from_pylist([dict(zip(("of", "from", "batch", "held"), x)) for x in out], pa.schema([("of", pa.int32()), ("from", pa.int64()), ("batch", pa.int64()), ("held", pa.int64())]))
+
+
+def _numbered(rows: pa.Table, begun: pa.Table, limit: int) -> pa.Table:
+    """The messages of a stretch with their batches."""
+    rows, upto = _in_order(rows)
+    batch, held, start = begun["batch"][0].as_py(), begun["held"][0].as_py(), 0
+    numbers = np.empty(len(upto), np.int64)
+    while start < len(upto):
+        end = _next_flush(upto, start, held, limit)
+        numbers[start : end + 1] = batch
+        batch, held, start = batch + 1, 0, end + 1
+    return rows.drop_columns(["stretch"]).append_column("batch", pa.array(numbers))
+
+
+def flush_batches(messages: DataFrame, limit: int, stretch: int = STRETCH) -> DataFrame:
     """Adds ``batch``: messages of a partition in order fill a batch until it has ``limit`` bytes.
 
-    The count starts again at each flush, so a batch depends on all before it: one pass over
-    the sorted messages, which holds a number for each partition and no rows.
+    The count starts again at each flush, so a batch depends on all before it.  Yet what a
+    stretch of ``stretch`` offsets does depends only on which of its messages flushes
+    first, and that is one within its first ``limit`` bytes.  So stretches are solved apart
+    for each of these; one pass over the outcomes in order tells what each stretch begins
+    with; then they are numbered, apart again, from the same shuffle.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, batch, held = None, 0, 0
-        for rows in batches:
-            numbers = np.empty(rows.num_rows, np.int64)
-            for i, (partition, size) in enumerate(zip(rows.column("partition").to_pylist(), rows.column("bytes").to_pylist())):
-                if partition != now:
-                    now, batch, held = partition, 0, 0
-                numbers[i] = batch
-                held += size
-                if held >= limit:
-                    batch, held = batch + 1, 0
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers)], names=[*rows.schema.names, "batch"])
-
-    rows = messages.select("partition", "offset", "records", "bytes").repartition("partition").sortWithinPartitions("partition", "offset")
-    return rows.mapInArrow(run, "partition int, offset bigint, records bigint, bytes bigint, batch bigint")
+    rows = messages.select("partition", "offset", "records", "bytes", F.floor(F.col("offset") / stretch).alias("stretch"))
+    stretches = rows.groupBy("partition", "stretch")
+    outcomes = stretches.applyInArrow(lambda own: _outcomes(own, limit), "partition int, stretch bigint, place bigint, upto bigint, flushes bigint, left bigint, total bigint")
+    outcomes = outcomes.repartition("partition").sortWithinPartitions("partition", "stretch", "place")
+    begun = outcomes.mapInArrow(lambda batches: _begun(batches, limit), "of int, from bigint, batch bigint, held bigint")
+    both = stretches.cogroup(begun.groupBy("of", "from"))
+    return both.applyInArrow(lambda own, first: _numbered(own, first, limit), "partition int, offset bigint, records bigint, bytes bigint, batch bigint")
 
 
 class BufferPolicy:

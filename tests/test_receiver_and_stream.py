@@ -1,6 +1,7 @@
 import gzip
 import http.client
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,25 @@ def test_batches_start_again_at_each_flush(spark):
     assert [r.batch for r in found] == [0, 0, 1, 1, 2, 2, 2, 2] * 2
 
 
+@pytest.mark.parametrize("limit", [1, 40, 900, 100_000])
+def test_batches_are_those_of_one_pass_however_partitions_are_cut(spark, limit):
+    """Batches within a stretch, over many of them, offsets that lack, and messages without bytes."""
+    r = random.Random(limit)
+    rows = [(p, i, 1, r.choice([0, 1, 7, 30, 95])) for p in range(3) for i in range(60 * p, 400) if r.random() < 0.8 or p == 2]
+    want, now = {}, None
+    for p, i, _, size in rows:
+        if p != now:
+            now, batch, held = p, 0, 0
+        want[p, i], held = batch, held + size
+        if held >= limit:
+            batch, held = batch + 1, 0
+    r.shuffle(rows)
+    messages = spark.createDataFrame(rows, "partition int, offset bigint, records bigint, bytes bigint")
+    for stretch in (1, 16, 1000):
+        assert {(x.partition, x.offset): x.batch for x in flush.flush_batches(messages, limit, stretch).collect()} == want
+    assert flush.flush_batches(messages.limit(0), limit).count() == 0
+
+
 def test_every_query_has_sql_or_needs_none():
     without = set(plans.queries()) - set(plans.oracle_sql())
     assert without == set()
