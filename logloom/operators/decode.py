@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from logloom.functions import otlp
 from logloom.schema import DECODED, OTEL_LOGS
@@ -84,10 +83,9 @@ def decode(queue: DataFrame, hex_ids: bool = False) -> DataFrame:
 
     ``hex_ids`` accepts ids in JSON as hex; by default they are base64, as for all bytes.
     """
-    kind = to_arrow_type(DECODED)
 
     @F.arrow_udf(DECODED)
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([otlp.decoded(v, hex_ids) for v in values.to_pylist()], kind)
+        return otlp.decoded_all(values.to_pylist(), hex_ids)
 
     return queue.withColumn("decoded", run(F.coalesce("value", _nothing())))

@@ -22,27 +22,27 @@ def _none(name: str, kind: str = "string") -> Column:
     return F.lit(None).cast(kind).alias(name)
 
 
-def _resource() -> Column:
+def _resource(event: Column) -> Column:
     """An event as a resource with one scope and one record."""
-    number = F.when(F.col("event_type") == "error", 17).when(F.col("event_type") == "view", 5)
-    digest = F.md5(F.col("event_id").cast("string").cast("binary"))
+    number = F.when(event["event_type"] == "error", 17).when(event["event_type"] == "view", 5)
+    digest = F.md5(event["event_id"].cast("string").cast("binary"))
     ids = lambda text: F.base64(F.unhex(text))
     attributes = F.array(
-        _text("event.type", F.col("event_type")),
-        F.struct(F.lit("event.value").alias("key"), F.struct(_none("stringValue"), _none("intValue"), F.col("value").alias("doubleValue")).alias("value")),
-        F.struct(F.lit("user.id").alias("key"), F.struct(_none("stringValue"), F.col("user_id").cast("string").alias("intValue"), _none("doubleValue", "double")).alias("value")),
+        _text("event.type", event["event_type"]),
+        F.struct(F.lit("event.value").alias("key"), F.struct(_none("stringValue"), _none("intValue"), event["value"].alias("doubleValue")).alias("value")),
+        F.struct(F.lit("user.id").alias("key"), F.struct(_none("stringValue"), event["user_id"].cast("string").alias("intValue"), _none("doubleValue", "double")).alias("value")),
         _text("shared", F.lit("record")),
     )
     record = F.struct(
-        nanos_of(F.col("ts")).cast("string").alias("timeUnixNano"),
+        nanos_of(event["ts"]).cast("string").alias("timeUnixNano"),
         number.cast("int").alias("severityNumber"),
-        F.when(F.col("event_type") == "purchase", "INFO").alias("severityText"),
-        F.struct(F.col("props").alias("stringValue")).alias("body"),
+        F.when(event["event_type"] == "purchase", "INFO").alias("severityText"),
+        F.struct(event["props"].alias("stringValue")).alias("body"),
         attributes.alias("attributes"),
         ids(digest).alias("traceId"),
         ids(F.substring(digest, 1, 16)).alias("spanId"),
     )
-    user = F.col("user_id")
+    user = event["user_id"]
     resource = F.struct(
         F.array(
             _text("service.name", F.concat(F.lit("svc-"), user % 10)),
@@ -56,9 +56,10 @@ def _resource() -> Column:
 
 def messages(events: DataFrame) -> DataFrame:
     """``topic``, ``partition``, ``offset``, ``payload``: up to five events a message, as JSON."""
-    rows = events.select((F.col("user_id") % PARTITIONS).cast("int").alias("partition"), F.expr(f"event_id div {PER_MESSAGE}").alias("offset"), "event_id", _resource().alias("resource"))
-    grouped = rows.groupBy("partition", "offset").agg(F.sort_array(F.collect_list(F.struct("event_id", "resource"))).alias("rows"))
-    payload = F.to_json(F.struct(F.transform("rows", lambda r: r["resource"]).alias("resourceLogs")))
+    key = (F.col("user_id") % PARTITIONS).cast("int").alias("partition"), F.expr(f"event_id div {PER_MESSAGE}").alias("offset")
+    # The events themselves are grouped, which are much smaller than the resources made of them.
+    grouped = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("event_id", "ts", "user_id", "event_type", "value", "props"))).alias("rows"))
+    payload = F.to_json(F.struct(F.transform("rows", _resource).alias("resourceLogs")))
     return grouped.select(F.lit(TOPIC).alias("topic"), "partition", "offset", payload.alias("payload"))
 
 
@@ -72,7 +73,7 @@ def as_protobuf(rows: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def encode(payloads: pa.Array) -> pa.Array:
-        return pa.array([otlp.parse("application/json", p.encode()).SerializeToString() for p in payloads.to_pylist()], pa.binary())
+        return pa.array([otlp.encoded(p.encode()) for p in payloads.to_pylist()], pa.binary())
 
     return rows.select("topic", "partition", "offset", envelope(F.lit("application/x-protobuf"), encode("payload")).alias("value"))
 
