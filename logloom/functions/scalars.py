@@ -53,14 +53,14 @@ def escape(text: Column) -> Column:
 
 def map_literal(attributes: Column) -> Column:
     """A map as the SQL literal MAP([keys], [values]), by key."""
-    entries = F.array_sort(F.map_entries(attributes))
+    entries = F.sort_array(F.map_entries(attributes))
     quoted = lambda name: F.array_join(F.transform(entries, lambda e: F.concat(F.lit("'"), escape(e[name]), F.lit("'"))), ", ")
     return F.concat(F.lit("MAP(["), quoted("key"), F.lit("], ["), quoted("value"), F.lit("])"))
 
 
 def map_text(attributes: Column) -> Column:
     """A map as k=v, joined by commas, by key."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
 _SIZED = ("_kafka_topic", "body", "severity", "service_name", "deployment_environment", "host_name", "trace_id", "span_id")

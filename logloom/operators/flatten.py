@@ -33,7 +33,7 @@ def attributes(of_resource: Column, of_record: Column) -> Column:
     """
     rest = F.filter(F.coalesce(of_resource, F.expr(f"cast(array() as {_ENTRIES})")), lambda e: ~e["key"].isin(*PROMOTED))
     numbered = F.transform(F.concat(rest, F.coalesce(of_record, F.expr(f"cast(array() as {_ENTRIES})"))), lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("back"), e["value"].alias("value")))
-    return F.array_sort(numbered)
+    return F.sort_array(numbered)
 
 
 def _first_of_key(entries: Column) -> Column:
