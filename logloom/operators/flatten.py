@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars
-from logloom.schema import LOGS, PROMOTED
+from logloom.schema import LOGS, PROMOTED, RESOURCES
 
 _ENTRIES = "array<struct<key:string,value:string>>"
 
@@ -21,7 +21,9 @@ def records(decoded: DataFrame) -> DataFrame:
 
     Resources and scopes without records give none; so do messages that could not be decoded.
     """
-    rows = decoded.select("topic", "partition", "offset", F.posexplode("decoded.resources").alias("__r", "resource"))
+    # Of a bare column Spark infers a filter (size > 0) and pushes it down to the source, where it decodes every message once more.
+    resources = F.coalesce("decoded.resources", F.array().cast(RESOURCES))
+    rows = decoded.select("topic", "partition", "offset", F.posexplode(resources).alias("__r", "resource"))
     rows = rows.select("topic", "partition", "offset", "__r", F.col("resource.attributes").alias("of_resource"), F.posexplode("resource.scopes").alias("__s", "scope"))
     return rows.select("topic", "partition", "offset", "of_resource", "__r", "__s", F.posexplode("scope.records").alias("__i", "record"))
 
