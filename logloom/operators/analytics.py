@@ -46,8 +46,15 @@ def rollup(logs: DataFrame) -> DataFrame:
 
 
 def traces(logs: DataFrame) -> DataFrame:
-    """Traces with how many rows and services they touch."""
-    return logs.where("trace_id <> ''").groupBy("trace_id").agg(F.count("*").alias("n"), F.countDistinct("service_name").alias("services"), F.max(F.when(F.col("severity") == "ERROR", 1).otherwise(0)).alias("failed"))
+    """Traces with how many rows and services they touch.
+
+    Rows meet by trace once, and both groupings are made there; a count of distinct services
+    would send a row for each trace and service, and then again one for each trace.
+    """
+    failed = F.when(F.col("severity") == "ERROR", 1).otherwise(0).alias("failed")
+    rows = logs.where("trace_id <> ''").select("trace_id", "service_name", failed).repartition("trace_id")
+    of_service = rows.groupBy("trace_id", "service_name").agg(F.count("*").alias("n"), F.max("failed").alias("failed"))
+    return of_service.groupBy("trace_id").agg(F.sum("n").alias("n"), F.count("service_name").alias("services"), F.max("failed").alias("failed"))
 
 
 def ranked(logs: DataFrame, k: int = 3) -> DataFrame:

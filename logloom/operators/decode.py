@@ -31,13 +31,16 @@ def _let(value: Column, body) -> Column:
 
 
 def _varint(n: Column) -> Column:
-    """A length below 2 ** 35 in protobuf's form."""
+    """A length below 2 ** 35 in protobuf's form, read as one number and its hex."""
 
-    def digits(n: Column) -> Column:
-        byte = lambda i: F.shiftright(n, 7 * i).bitwiseAND(127) + F.when(F.shiftright(n, 7 * (i + 1)) > 0, 128).otherwise(0)
-        return F.concat(*[F.when((F.shiftright(n, 7 * i) > 0) if i else F.lit(True), F.lpad(F.hex(byte(i)), 2, "0")).otherwise("") for i in range(5)])
+    def of_size(k: int) -> Column:
+        digit = lambda i: F.shiftright(n, 7 * i).bitwiseAND(127) + F.lit(128 if i < k - 1 else 0)
+        return F.lpad(F.hex(sum((F.shiftleft(digit(i), 8 * (k - 1 - i)) for i in range(1, k)), F.shiftleft(digit(0), 8 * (k - 1)))), 2 * k, "0")
 
-    return F.unhex(_let(n, digits))
+    out = of_size(5)
+    for k in range(4, 0, -1):
+        out = F.when(n < 1 << 7 * k, of_size(k)).otherwise(out)
+    return F.unhex(out)
 
 
 def _nothing() -> Column:

@@ -13,7 +13,8 @@ _ENTRIES = "array<struct<key:string,value:string>>"
 
 def _last(attributes: Column, key: str) -> Column:
     """The value of a key, of several the last; empty if there is none."""
-    return F.coalesce(F.try_element_at(F.filter(attributes, lambda e: e["key"] == key), F.lit(-1))["value"], F.lit(""))
+    backwards = F.reverse(attributes)
+    return F.coalesce(F.get(backwards["value"], F.array_position(backwards["key"], key).cast("int") - 1), F.lit(""))
 
 
 def records(decoded: DataFrame) -> DataFrame:
@@ -39,13 +40,13 @@ def attributes(of_resource: Column, of_record: Column) -> Column:
 
 
 def _first_of_key(entries: Column) -> Column:
-    return F.map_from_entries(F.transform(F.filter(entries, lambda e, i: (i == 0) | (F.try_element_at(entries, i)["key"] != e["key"])), lambda e: F.struct(e["key"], e["value"])))
+    return F.filter(entries, lambda e, i: (i == 0) | (F.try_element_at(entries, i)["key"] != e["key"]))
 
 
 def logs(decoded: DataFrame, with_place: bool = False) -> DataFrame:
     """The log table's rows; ``with_place`` adds ``_ordinal``, the record's place in its message."""
     record = F.col("record")
-    rows = records(decoded).withColumn("__entries", attributes(F.col("of_resource"), F.col("record.attributes")))
+    rows = records(decoded).withColumn("__entries", attributes(F.col("of_resource"), F.col("record.attributes"))).withColumn("__entries", _first_of_key(F.col("__entries")))
     time = scalars.wall_clock(scalars.nanos(record["time"], record["observed"]))
     columns = {
         "_kafka_topic": F.col("topic"),
@@ -58,7 +59,7 @@ def logs(decoded: DataFrame, with_place: bool = False) -> DataFrame:
         "trace_id": scalars.hex_text(record["trace_id"]),
         "span_id": scalars.hex_text(record["span_id"]),
         **{column: _last(F.col("of_resource"), key) for key, column in PROMOTED.items()},
-        "attributes": _first_of_key(F.col("__entries")),
+        "attributes": F.map_from_arrays(F.col("__entries.key"), F.col("__entries.value")),
     }
     out = [columns[f.name].cast(f.dataType).alias(f.name) for f in LOGS.fields]
     if with_place:

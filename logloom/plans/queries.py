@@ -188,7 +188,15 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.logs_of(spark, _STORED[key])
 
 
+_ASKED: set[tuple[str, str]] = set()
+
+
 def _analytics(f: Callable[..., DataFrame], spark, sf_dir):
+    """An application's first question takes the rows as they are decoded, and computes only the columns it needs; the table is stored when there is a second one."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ASKED:
+        _ASKED.add(key)
+        return f(_logs(spark, sf_dir))
     return f(_stored(spark, sf_dir))
 
 
