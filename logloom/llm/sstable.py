@@ -214,6 +214,14 @@ def filesystem(uri: str):
         raise ValueError(f"shards need a folder that pyarrow can write to (file, s3, gs, abfs, hdfs with its library), not {uri}") from e
 
 
+def reads_as_gpt2(tokenizer) -> bool:
+    """Whether texts as they are are cut by the pattern of GPT-2 and nothing else."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = tokenizer.pre_tokenizer
+    return isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and tokenizer.normalizer is None
+
+
 def encoder(data: bytes):
     """``encode_all`` for a file of the tokenizers library, and its tokenizer.
 
@@ -224,6 +232,7 @@ def encoder(data: bytes):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(data)
+    joins = " \n" if reads_as_gpt2(tokenizer) else " "
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, number in vocabulary.items():
@@ -237,7 +246,7 @@ def encoder(data: bytes):
     def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain, rest = [], []
         for i, t in enumerate(texts):
-            (plain if len(t) > 1 and t[0] == " " and not t[1].isspace() and not t[-1].isspace() else rest).append(i)
+            (plain if len(t) > 1 and t[0] in joins and not t[1].isspace() and not t[-1].isspace() else rest).append(i)
         sizes, flat = np.zeros(len(texts), np.int64), []
         for first in range(0, len(plain), step := 20_000):
             at = plain[first : first + step]
@@ -281,7 +290,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> tuple:
             encode, tokenizer = encoder(shared.value)
-            return encode, tokenizer, Vocabulary(encode, most=400_000)
+            return encode, tokenizer, Vocabulary(encode, most=500_000, fine=reads_as_gpt2(tokenizer))
 
         encode, tokenizer, words = kept(shared.value, make)
         # Strings of special tokens cut a text before its words are found; such texts go in whole.

@@ -62,6 +62,54 @@ def test_columns_encode_as_the_tokenizers_library_does(texts):
             assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+FINE = st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,!_-(1aetsßéª×\xb5\xad\u0301\u3000日\r"), st.characters(exclude_categories=["Cs"])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(FINE, max_size=6))
+def test_finer_chunks_encode_as_the_libraries_do(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for encode, want in ((LIBRARY, lambda t: whole.encode(t, add_special_tokens=False).ids), (OWN.encode_all, KNOWN.encode_ordinary)):
+        words = chunks.Vocabulary(encode, most=5, fine=True)
+        for column in (texts, texts, [f"{a}b.\nC{a}d,\n'{a}s e" for a in texts]):
+            ids, counts = words.encode_column(pa.array(column, pa.string()))
+            ends = np.cumsum(counts)
+            for text, a, b in zip(column, ends - counts, ends):
+                assert ids[a:b].tolist() == want(text)
+
+
+def test_a_word_before_signs_and_lines_is_encoded_once():
+    from tokenizers import Tokenizer
+
+    file = open(P.path("byte_bpe_50k.json"), "rb").read()
+    encode, tokenizer = sstable.encoder(file)
+    asked = []
+    words = chunks.Vocabulary(lambda texts: (asked.extend(texts), encode(texts))[1], fine=sstable.reads_as_gpt2(tokenizer))
+    r = random.Random(5)
+    known = ["".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(2000)]
+    texts = ["We " + " ".join(f"{w}{end}" for w in known) + " end" for end in ("", ".", ",", ";", "!", "...", ".\nThen", "\nNow")]
+    ids, counts = words.encode_column(pa.array(texts))
+    assert len(set(asked)) == len(asked) < 2020
+    assert ids.tolist() == [i for e in Tokenizer.from_buffer(file).encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    # Without the pattern of GPT-2 nothing is cut finer.
+    other = Tokenizer.from_buffer(file)
+    assert sstable.reads_as_gpt2(other)
+    from tokenizers import pre_tokenizers
+
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    assert not sstable.reads_as_gpt2(other)
+
+
+def test_what_is_kept_is_bounded_by_ids_too():
+    words = chunks.Vocabulary(OWN.encode_all, most=4)
+    texts = [f"a {c * 500} b" for c in "qxz"]
+    ids, counts = words.encode_column(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in KNOWN.encode_ordinary(t)]
+    assert len(words.flat) <= 4 * words.IDS and len(words.index) == len(words.ends) - 1
+
+
 @pytest.mark.parametrize("word", ["a" * 5000, "ab" * 3000, "abcab" * 900, "the" * 1500, "".join(chr(97 + i * i % 26) for i in range(4000)), "é" * 700])
 def test_long_words_encode_as_the_library_does(word):
     assert OWN.encode_all([word])[0].tolist() == KNOWN.encode_ordinary(word)
