@@ -302,7 +302,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None
         with files.open_output_stream(f"{root}/{name}", compression=None) as stream:
             out = Writer(stream, tokenizer.get_vocab_size() > 1 << 16)
             for whole in batches:
-                for batch in slices(whole, "__text", 8 << 20):
+                for batch in slices(whole, "__text", 4 << 20):
                     texts = batch.column("__text")
                     cut = np.zeros(len(texts), bool)
                     for mark in special:
