@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 T = TypeVar("T")
 
@@ -110,10 +111,22 @@ def kept(owner: object, make: Callable[[], T]) -> T:
     has encoded) is of bounded size and changes no result.
     """
     if not _KEPT or _KEPT[0] is not owner:
+        forget_kept()  # before the new one is made, so that a worker never holds two
         _KEPT[:] = [owner, make()]
     return _KEPT[1]
 
 
+def forget_kept() -> None:
+    """Frees what :func:`kept` has left in this Python worker; for tasks that make nothing of the kind themselves."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def sent_once(docs: DataFrame) -> bool:
+    """Whether ``text`` is what operators read of it, so that a row that travels along needs no second copy."""
+    return docs.columns.count("text") == 1 and docs.schema["text"].dataType == StringType()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``most`` bytes of ``column``; rows stay whole."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

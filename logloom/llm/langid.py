@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import crc_of_id, kept, named, scratch, slices, table
+from logloom.llm.common import crc_of_id, forget_kept, kept, named, scratch, sent_once, slices, table
 
 ORDER, SAMPLE, DISCOUNT, MOST_WORDS = 4, 1000, 0.75, 400_000
 #: A text is rejected beyond this quantile of what its language's documents of like length
@@ -80,6 +80,7 @@ def count_grams(sample: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang``, ``k`` (order), ``gram``, ``shorter`` (the n-gram without its first letter), ``context``, ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for whole in batches:
             for batch in slices(whole, "__text"):
                 langs = np.array(batch.column(0).to_pylist(), object)
@@ -202,12 +203,12 @@ class Scorer:
         return out
 
 
-def costs(docs: DataFrame, models: Models, keep: list[Column]) -> DataFrame:
-    """``keep`` and ``bits`` (an array by language), ``letters`` for each row."""
+def costs(docs: DataFrame, models: Models, keep: list[Column], with_text: bool = False) -> DataFrame:
+    """``keep`` and ``bits`` (an array by language), ``letters`` for each row; ``with_text`` adds the text that was read, ``__text``."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
     base = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    names = base.columns[:-1]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
+    names = base.columns if with_text else base.columns[:-1]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(names)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = kept(shared.value, lambda: Scorer(shared.value))
@@ -327,11 +328,13 @@ def accepted(docs: DataFrame, fitted: tuple[Models, float, list[list[float]]]) -
     if not models.langs:
         return docs
     # The row travels along with its text, so nothing has to be joined again.
-    rows = docs.select(*[named(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], "text")
-    scored = costs(rows, models, [F.col(f"__{i}") for i in range(len(docs.columns))])
+    once = sent_once(docs)
+    place_of = {c: "__text" if once and c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[named(c).alias(at) for c, at in place_of.items() if at != "__text"], "text")
+    scored = costs(rows, models, [F.col(at) for at in place_of.values() if at != "__text"], with_text=once)
     best = F.array_min("bits")
     at = F.array_position("bits", best).cast("int")
     kept = scored.where((F.col("letters") > 0) & (best / F.col("letters") <= _bound(most, at)))
     found = F.element_at(F.array(*map(F.lit, models.langs)), at)
-    own = lambda i, c: F.coalesce(F.col(f"__{i}"), found) if c == "lang" and docs.schema[c].dataType.typeName() == "string" else F.col(f"__{i}")
-    return kept.select(*[own(i, c).alias(c) for i, c in enumerate(docs.columns)])
+    own = lambda c: F.coalesce(F.col(place_of[c]), found) if c == "lang" and docs.schema[c].dataType.typeName() == "string" else F.col(place_of[c])
+    return kept.select(*[own(c).alias(c) for c in docs.columns])

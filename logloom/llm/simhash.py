@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import drop_table, named, scratch, slices, table
+from logloom.llm.common import drop_table, forget_kept, named, scratch, sent_once, slices, table
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 4096
 
@@ -53,19 +53,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``keep`` (by default ``doc_id``) and ``fp``, the fingerprint of ``text`` as a signed long."""
+def fingerprints(docs: DataFrame, *keep: Column, with_text: bool = False) -> DataFrame:
+    """``keep`` (by default ``doc_id``) and ``fp``, the fingerprint of ``text`` as a signed long.
+
+    ``with_text`` adds the text that was read, ``__text``.
+    """
     base = docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("__text"))
-    names = base.columns[:-1]
+    names = base.columns if with_text else base.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for whole in batches:
             for batch in slices(whole, "__text"):
                 texts = batch.column("__text").cast(pa.binary())
                 found = np.array([fingerprint(t or b"") for t in texts.to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(names)]]
     return base.mapInArrow(run, ", ".join([*kinds, "fp bigint"]))
 
 
@@ -101,6 +105,7 @@ def _solve(buckets: DataFrame, radius: int) -> DataFrame:
     """Edges from rows with an array ``fps``, and perhaps a second one, ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             edges = []
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
@@ -183,11 +188,13 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
     others = F.md5(F.to_json(F.struct(*map(named, further))).cast("binary")) if further else F.lit("")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), digest.alias("digest"), others.alias("others"))
-    columns = [named(c).alias(f"__{i}") for i, c in enumerate(docs.columns)]
-    rows = table(fingerprints(docs, F.monotonically_increasing_id().alias("__row"), place.alias("__place"), *columns), "rows")
+    once = sent_once(docs)
+    place_of = {c: "__text" if once and c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}
+    columns = [named(c).alias(at) for c, at in place_of.items() if at != "__text"]
+    rows = table(fingerprints(docs, F.monotonically_increasing_id().alias("__row"), place.alias("__place"), *columns, with_text=once), "rows")
     prints = table(rows.select(F.col("__place.doc_id").alias("doc_id"), "fp", F.struct("__place", "__row").alias("first")), "fingerprints")
     rooted = _rooted(prints, radius, block).select("fp", "root")
     # Rows of one fingerprint first, so that a large component is small before it is dealt out.
     firsts = prints.groupBy("fp").agg(F.min("first").alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = rows.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi")
-    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(at).alias(c) for c, at in place_of.items()])

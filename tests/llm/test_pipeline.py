@@ -9,7 +9,7 @@ from test_mixing import plain_targets, size
 from test_pii import FORMS, luhn, plain
 from test_tokens import KNOWN
 
-from logloom.llm import mixing
+from logloom.llm import common, langid, mixing, simhash
 
 #: Texts of the fixture in no language that it teaches may go or stay.
 DOUBTFUL = ("日", "aaa", "abab", "é", "İ")
@@ -88,6 +88,34 @@ def test_stages(spark, more_docs, tmp_path):
             assert Counter((r.doc_id, r.source, tuple(r.token_ids)) for r in after) == want and all(len(r.token_ids) == r.n_tokens for r in after)
 
 
+def test_a_text_is_sent_once_and_nothing_of_other_stages_stays(spark, docs, monkeypatch):
+    """Python workers live on between stages: what one keeps there must not add to the memory of the next."""
+    sent, plain_map = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: sent.append((self, f)) or plain_map(self, f, *a, **k))
+    some = docs.where("doc_id < 30")
+    fitted = langid.fit(docs.where(~langid.held_out()), sample=60)
+    owner = object()
+    for stage, frees in ((lambda: simhash.first_of_each(some), True), (lambda: langid.accepted(some, fitted), False), (lambda: langid.count_grams(some), True)):
+        sent.clear()
+        stage()
+        rows, run = sent[0]
+        batch = rows.toArrow().combine_chunks().to_batches()[0]
+        texts = sorted(r.text for r in some.collect())
+        assert sum(sorted(map(str, c.to_pylist())) == texts for c in batch.columns) == 1
+        common.kept(owner, lambda: "of another stage")
+        assert list(run(iter([batch])))
+        assert (common._KEPT == []) == frees and owner not in common._KEPT
+    common.kept(object(), lambda: common._KEPT.copy() == [] or pytest.fail("the last one is still held"))
+    common.forget_kept()
+
+
+def test_texts_of_other_types_travel_as_they_are(spark, docs):
+    some = docs.where("doc_id < 30").withColumn("text", F.col("text").cast("binary"))
+    fitted = langid.fit(docs.where(~langid.held_out()), sample=60)
+    for out in (langid.accepted(some, fitted), simhash.first_of_each(some)):
+        assert out.dtypes == some.dtypes and {bytes(r.text) for r in out.collect()} <= {bytes(r.text) for r in some.collect()}
+
+
 def test_run_applies_the_stages_to_documents(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/sf"
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
